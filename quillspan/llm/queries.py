@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import decontaminate, license, quality, tokencount
+from quillspan.llm import decontaminate, license, quality, simhash, tokencount
 from quillspan.session import read_table, scratch_path
 
 
@@ -13,6 +13,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -29,5 +33,5 @@ def op8_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_decontamination, op5_token_counts, op8_quality_bands)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op4_decontamination, op5_token_counts, op8_quality_bands)}
 ORACLE_SQL = {"op1_license_scan": license.sql(), "op4_decontamination": decontaminate.SQL}
