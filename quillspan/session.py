@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 # Only for sessions that name no shared folder, such as tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints/quillspan"
 
@@ -46,4 +49,6 @@ def clean_scratch(spark: SparkSession) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. From here on, Python workers find this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
