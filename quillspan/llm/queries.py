@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import decontaminate, license, quality, simhash, tokencount
+from quillspan.llm import bpe, decontaminate, license, quality, simhash, tokencount
 from quillspan.session import read_table, scratch_path
 
 
@@ -33,5 +33,10 @@ def op8_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op4_decontamination, op5_token_counts, op8_quality_bands)}
+def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op4_decontamination, op5_token_counts, op8_quality_bands, op9_bpe_lexicon)}
 ORACLE_SQL = {"op1_license_scan": license.sql(), "op4_decontamination": decontaminate.SQL}

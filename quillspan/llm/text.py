@@ -62,3 +62,16 @@ def arrow_schema(like: DataFrame, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def slices(texts: list, most: int = 1 << 20) -> Iterator[list]:
+    """Consecutive texts in slices of about ``most`` characters, so that encodings stay small."""
+    part, size = [], 0
+    for x in texts:
+        part.append(x)
+        size += len(x)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.text import arrow_schema
+from quillspan.llm.text import arrow_schema, slices
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: Part of the version digest: raise it when counts of the same file would change.
@@ -42,19 +42,6 @@ def counter(name: str, payload: bytes):
     return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def slices(texts: list, most: int = 1 << 20) -> Iterator[list]:
-    """Consecutive texts in slices of about ``most`` characters, so that encodings stay small."""
-    part, size = [], 0
-    for x in texts:
-        part.append(x)
-        size += len(x)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def read_cache(spark: SparkSession, cache_dir: str, version: str) -> DataFrame:
     """Stored counts of this version; empty when nothing is stored yet."""
     jvm = spark.sparkContext._jvm
