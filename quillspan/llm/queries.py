@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, decontaminate, license, quality, simhash, tokencount
+from quillspan.llm import bpe, decontaminate, license, linededup, quality, simhash, tokencount
 from quillspan.session import read_table, scratch_path
 
 
@@ -27,6 +28,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-cache"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks"
@@ -38,5 +44,5 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op4_decontamination, op5_token_counts, op8_quality_bands, op9_bpe_lexicon)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op4_decontamination, op5_token_counts, op6_line_dedup, op8_quality_bands, op9_bpe_lexicon)}
 ORACLE_SQL = {"op1_license_scan": license.sql(), "op4_decontamination": decontaminate.SQL}
