@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, decontaminate, license, linededup, quality, simhash, tokencount, toxicity
+from quillspan.llm import bpe, decontaminate, license, linededup, quality, simhash, suffixdedup, tokencount, toxicity
 from quillspan.session import read_table, scratch_path
 
 
@@ -48,5 +48,9 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op3_toxicity, op4_decontamination, op5_token_counts, op6_line_dedup, op8_quality_bands, op9_bpe_lexicon)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(suffixdedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op3_toxicity, op4_decontamination, op5_token_counts, op6_line_dedup, op8_quality_bands, op9_bpe_lexicon, op10_suffix_dedup)}
 ORACLE_SQL = {"op1_license_scan": license.sql(), "op4_decontamination": decontaminate.SQL}
