@@ -167,6 +167,12 @@ def contamination_of(index: DataFrame, matches: DataFrame, *, id_col: str = "doc
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id isn't that of a contaminated document."""
+    found = contamination(docs, items, id_col=id_col, text_col=text_col).where("contaminated").select(id_col).distinct()
+    return docs.join(sized(materialize(found, "contaminated")), id_col, "left_anti").select(docs.columns)
+
+
 WORDS_SQL = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -194,3 +194,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     count = lambda c: F.coalesce(F.size(f"__drop.{c}"), F.lit(0)).cast("long")
     return met.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long"), "n_exact": F.when(F.col("__drop").isNull(), 0).otherwise(count("exact")).cast("long"), "n_near": F.when(F.col("__drop").isNull(), 0).otherwise(count("near")).cast("long")}).withColumn(text_col, text).drop("__id", "__drop")
+
+
+def clean_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the same columns and rows, without repeated lines; the size column, if there, is counted anew."""
+    out = dedup_lines(docs, id_col=id_col, text_col=text_col)
+    if size_col in docs.columns:
+        out = out.withColumn(size_col, F.char_length(text_col).cast(docs.schema[size_col].dataType))
+    return out.select(docs.columns)

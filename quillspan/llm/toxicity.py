@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -335,3 +336,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_co
     model = fit(docs, labels, most=most, id_col=id_col, text_col=text_col)
     scored = score(docs, model, id_col=id_col, text_col=text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a model fitted on them and the labels doesn't predict as toxic; no shuffle of texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most=most, id_col=id_col, text_col=text_col))
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        scorer = scorer_of(shared.value)
+        return texts.map(lambda x: scorer.score((x or "").encode()))
+
+    return docs.where(scores(F.coalesce(text_col, F.lit(""))) < THRESHOLD)
