@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, decontaminate, license, linededup, quality, simhash, suffixdedup, tokencount, toxicity
+from quillspan.llm import backoff, bpe, decontaminate, license, linededup, quality, simhash, suffixdedup, tokencount, toxicity
 from quillspan.session import read_table, scratch_path
 
 
@@ -37,6 +37,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are rounded, as sums of floating-point numbers depend on their order."""
+    scored = backoff.backoff_scores(read_table(spark, sf_dir, "documents"))
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
 def op8_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks"
@@ -52,5 +58,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(suffixdedup.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op3_toxicity, op4_decontamination, op5_token_counts, op6_line_dedup, op8_quality_bands, op9_bpe_lexicon, op10_suffix_dedup)}
-ORACLE_SQL = {"op1_license_scan": license.sql(), "op4_decontamination": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op3_toxicity, op4_decontamination, op5_token_counts, op6_line_dedup, op7_backoff_scores, op8_quality_bands, op9_bpe_lexicon, op10_suffix_dedup)}
+ORACLE_SQL = {
+    "op1_license_scan": license.sql(),
+    "op4_decontamination": decontaminate.SQL,
+    "op7_backoff_scores": backoff.sql(),
+}
