@@ -1 +1,12 @@
+"""Queries over the driver's tables."""
 
+from __future__ import annotations
+
+from types import ModuleType
+
+
+def load() -> ModuleType:
+    """The registry, with all queries of this folder in it."""
+    from quillspan.plans import graph_queries, rank_queries, registry, relational_queries, text_queries  # noqa: F401
+
+    return registry
