@@ -76,11 +76,11 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def hitting(edges: DataFrame, targets: DataFrame, steps: int) -> DataFrame:
     """(query_id, node, p): chance that a walk from a node meets a target within some steps."""
-    p = materialize(transitions(edges), "transitions")
+    p = materialize(transitions(edges), "transitions").select(F.col("src").alias("before"), F.col("dst").alias("node"), "w")
     goal = targets.distinct().withColumn("p", F.lit(1.0))
     x = goal
     for _ in range(steps):
-        back = x.join(p, x["node"] == p["dst"]).groupBy("query_id", p["src"].alias("node")).agg(F.sum(F.col("p") * F.col("w")).alias("p"))
+        back = x.join(p, "node").groupBy("query_id", F.col("before").alias("node")).agg(F.sum(F.col("p") * F.col("w")).alias("p"))
         x = goal.unionByName(back.join(goal, ["query_id", "node"], "left_anti"))
     return x
 

@@ -203,8 +203,8 @@ def c18_rank_deltas(spark, d):
 
 @query(VIEW_SQL + """, t AS (SELECT query_id, avg(score) FILTER (rank <= 5) AS top5, max(score) - avg(score) FILTER (rank <= 5) AS lead FROM run GROUP BY query_id),
   o AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) AS r FROM own) WHERE r <= 10),
-  c AS (SELECT query_id, count(o.doc_id) AS both FROM (SELECT * FROM run WHERE rank <= 10) r LEFT JOIN o USING (query_id, doc_id) GROUP BY query_id)
-  SELECT query_id, round(top5, 6) AS top5, round(lead, 6) AS lead, round(both / 10.0, 6)::DOUBLE AS shared FROM t JOIN c USING (query_id)""")
+  c AS (SELECT query_id, count(o.doc_id) AS hits FROM (SELECT * FROM run WHERE rank <= 10) r LEFT JOIN o USING (query_id, doc_id) GROUP BY query_id)
+  SELECT query_id, round(top5, 6) AS top5, round(lead, 6) AS lead, round(hits / 10.0, 6)::DOUBLE AS shared FROM t JOIN c USING (query_id)""")
 def f10_router_features(spark, d):
     run = X.dense_run(spark, d, 10)
     other = R.rank_by(signals(spark, d).select("query_id", "doc_id", F.col("total").alias("score")), 10).select("query_id", "doc_id", F.lit(1).alias("hit"))
