@@ -36,7 +36,7 @@ class WordHashes:
         if len(self.seen) > self.most:
             self.seen = {}
         seen = self.seen
-        for w in set(words) - seen.keys():
+        for w in [w for w in set(words) if w not in seen]:
             seen[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
