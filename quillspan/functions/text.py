@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stop lists and polarity words that results depend on.
 RETRIEVAL_STOP = "a an and are as at be by for from has have in is it of on or that the to was were will with this these those we our using used use based via study paper".split()
@@ -27,13 +28,13 @@ def norm_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no such function."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML entities decoded."""
     return texts.map(lambda t: None if t is None else html.unescape(t))
