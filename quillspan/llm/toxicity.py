@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillspan.llm.text import WORD_BYTES, arrow_schema, map_texts
 from quillspan.session import materialize
@@ -25,6 +26,8 @@ MAX_TERMS = 2_000
 PREFIXES = range(4, 9)
 #: Least likelihood ratio statistic of a term against the labels.
 EVIDENCE = 25.0
+#: Least ratio of a term's share of toxic documents to that of clean ones.
+MIN_RATIO = 10
 #: Documents that a weight of its own must rest on.
 SUPPORT = 20
 #: Shorter terms are matched as they stand only.
@@ -58,7 +61,7 @@ def build_trie(terms: list[str]) -> Node:
     return top
 
 
-def intersect(word: str, trie: Node, fuzzy: list[bool]) -> tuple[int, int] | None:
+def intersect(word: str, trie: Node) -> tuple[int, int] | None:
     """(term, edits) of the closest term, of at most one edit, that the word begins with.
 
     The automaton of the word runs down the trie. Bit i of ``exact`` (``edited``) is the
@@ -73,9 +76,9 @@ def intersect(word: str, trie: Node, fuzzy: list[bool]) -> tuple[int, int] | Non
     while todo:
         node, exact, edited, depth = todo.pop()
         if node.term >= 0:
-            edits = 0 if exact else 1 if fuzzy[node.term] else None
-            if edits is not None and (best is None or (edits, -depth) < best[:2]):
-                best = (edits, -depth, node.term)
+            found = (0 if exact else 1, -depth, node.term)
+            if best is None or found < best:
+                best = found
         for c, child in node.children.items():
             here = at.get(c, 0)
             moved = (exact & here) << 1
@@ -85,6 +88,25 @@ def intersect(word: str, trie: Node, fuzzy: list[bool]) -> tuple[int, int] | Non
     return best and (best[2], best[0])
 
 
+class Halves:
+    """Tells words that can't begin within one edit of a term from those that may.
+
+    One edit leaves the first half of a term at its place, or the second half at its
+    place or the one before or behind it.
+    """
+
+    def __init__(self, terms: list[str]):
+        self.parts: dict[tuple[int, int], set[str]] = {}
+        for term in terms:
+            cut = len(term) // 2
+            for begin, part in ((0, term[:cut]), *((cut + shift, term[cut:]) for shift in (-1, 0, 1))):
+                self.parts.setdefault((begin, begin + len(part)), set()).add(part)
+        self.checks = [(a, b, found) for (a, b), found in self.parts.items()]
+
+    def may_hold(self, word: str) -> bool:
+        return any(word[a:b] in found for a, b, found in self.checks)
+
+
 @dataclass
 class Model:
     """A fitted lexicon. ``weights`` has, for each term, those of exact and of misspelled hits."""
@@ -100,15 +122,26 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.trie = build_trie(model.terms)
-        self.fuzzy = [len(t) >= MIN_FUZZY for t in model.terms]
+        self.number = {t: i for i, t in enumerate(model.terms)}
+        self.sizes = sorted({len(t) for t in model.terms}, reverse=True)
+        fuzzy = [t for t, (_, near) in zip(model.terms, model.weights) if len(t) >= MIN_FUZZY and near > 0]
+        self.fuzzy = [self.number[t] for t in fuzzy]
+        self.trie, self.halves = build_trie(fuzzy), Halves(fuzzy)
         self.seen: dict[bytes, tuple[int, int] | None] = {}
 
+    def match(self, word: str) -> tuple[int, int] | None:
+        for n in self.sizes:
+            if (i := self.number.get(word[:n])) is not None:
+                return i, 0
+        if self.halves.may_hold(word) and (found := intersect(word[:64], self.trie)):
+            return self.fuzzy[found[0]], found[1]
+        return None
+
     def matches(self, words: set[bytes]) -> dict[bytes, tuple[int, int]]:
         if len(self.seen) > REMEMBERED:
             self.seen = {}
-        for w in words - self.seen.keys():
-            self.seen[w] = intersect(w.decode("utf-8", "replace")[: max(PREFIXES) * 8], self.trie, self.fuzzy)
+        for w in [w for w in words if w not in self.seen]:
+            self.seen[w] = self.match(w.decode("utf-8", "replace"))
         return {w: m for w in words if (m := self.seen[w])}
 
     def hits(self, data: bytes) -> list[tuple[int, int, bool]]:
@@ -231,7 +264,7 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> li
                     g += 2 * x * math.log(x / (size * share))
         return g
 
-    ranked = sorted(((-round(ratio(t, c), 6), -len(term), term) for term, t, c in rows if t * clean > 4 * c * toxic))
+    ranked = sorted(((-round(ratio(t, c), 6), -len(term), term) for term, t, c in rows if t * clean > MIN_RATIO * c * toxic))
     chosen: list[str] = []
     begins: set[str] = set()
     for g, _, term in ranked:
@@ -272,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_col: st
     counts = candidate_terms(train)
     # EVIDENCE needs at least so many toxic documents, and terms that clean ones have as often are of no use.
     least = max(2, math.floor(EVIDENCE / (2 * math.log((toxic + clean) / toxic))))
-    likely = counts.where((F.col("t") >= least) & (F.col("t") * clean > 4 * F.col("c") * toxic))
+    likely = counts.where((F.col("t") >= least) & (F.col("t") * clean > MIN_RATIO * F.col("c") * toxic))
     rows = [tuple(r) for r in likely.orderBy(F.desc(F.col("t") - F.col("c")), "term").limit(50 * MAX_TERMS).collect()]
     terms = choose_terms(rows, toxic, clean)
     plain = Model(terms, [(1.0, 1.0)] * len(terms), 1.0, [0.0] * 4)
@@ -342,7 +375,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_
     """The rows of ``docs`` that a model fitted on them and the labels doesn't predict as toxic; no shuffle of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most=most, id_col=id_col, text_col=text_col))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def scores(texts: pd.Series) -> pd.Series:
         scorer = scorer_of(shared.value)
         return texts.map(lambda x: scorer.score((x or "").encode()))
