@@ -35,7 +35,7 @@ MIN_FUZZY = 5
 #: Words to either side of a hit that are looked at for signs of quotation.
 CONTEXT = 6
 #: Distinct words whose match a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 THRESHOLD = 0.3
 
 # Words near a term that report it instead of using it.
