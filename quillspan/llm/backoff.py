@@ -137,7 +137,8 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     own = F.explode("ids").alias("id")
     seen = counted.where(F.col("n_pair") >= min_count).select(F.log(F.col("n_pair") / F.col("n_first")).alias("s"), own).select("id", "s", F.lit(0).alias("b"))
-    rare = counted.where(F.col("n_pair") < min_count).select(F.col("second").alias("word"), own)
+    # Both kinds need the same columns, so that one exchange serves them.
+    rare = counted.where((F.col("n_pair") < min_count) & (F.col("n_first") > 0)).select(F.col("second").alias("word"), own)
     backed = rare.join(singles.select("word", "n"), "word").select("id", F.log(factor * F.col("n") / F.lit(float(max(total, 1)))).alias("s"), F.lit(1).alias("b"))
     sums = seen.unionByName(backed).groupBy("id").agg(F.count("*").alias("n_tokens"), F.sum("b").alias("n_backoff"), F.sum("s").alias("log_score"))
     ids = docs.select(F.col(id_col)).distinct()
