@@ -20,10 +20,12 @@ from quillspan.session import materialize
 LENGTH = 400
 #: Bytes of the grams of which each string of ``LENGTH`` bytes has a least one, its anchor.
 GRAM = 16
-#: Distinct strings under a key beyond which the key is made finer.
+#: Distinct strings under a finer key beyond which it is made finer again.
 HOT = 4_000
 #: Starts under a finer key, level by level; with 1 start a key is the string itself.
-PIECES = (32, 1)
+PIECES = (128, 16, 1)
+#: Rows of a table of keys or digests up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 #: Bytes of a shard that is sorted at once (a single key may exceed it), and of a task.
 SHARD = 4 << 20
 TASK = 16 << 20
@@ -98,7 +100,7 @@ def with_texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(text, wanted): one text for each digest of ``wanted``, whose other columns are gathered by digest."""
     own = [c for c in wanted.columns if c != "digest"]
     by_text = materialize(wanted.groupBy("digest").agg(F.collect_list(F.struct(*own)).alias("wanted")), "wanted")
-    texts = keyed.join(sized(by_text.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    texts = keyed.join(sized(by_text.select("digest"), BROADCAST_ROWS), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     return texts.join(by_text, "digest").select("digest", "text", "wanted")
 
 
@@ -109,7 +111,7 @@ def finer_runs(keyed: DataFrame, runs: DataFrame, piece: int, length: int) -> Da
     string, which become part of the key: under a key only strings remain that are equal
     but for fewer than ``piece`` bytes at either end.
     """
-    found = with_texts(keyed, runs.select("digest", "start", "n", "anchor", "key").distinct())
+    found = with_texts(keyed, runs)
     arrow = arrow_schema(found, RUNS)
 
     def rows(batches):
@@ -120,7 +122,7 @@ def finer_runs(keyed: DataFrame, runs: DataFrame, piece: int, length: int) -> Da
                     for r in range((anchor - end + 1) // piece, (anchor - start) // piece + 1):
                         least, most = anchor - (r + 1) * piece + 1, anchor - r * piece
                         a, b = max(start, least), min(end, most + 1)
-                        key = xxhash.xxh64_intdigest(b"%d %d " % (w["key"], r) + data[most : least + length])
+                        key = xxhash.xxh64_intdigest(b"%d %d " % (w["key"], r) + data[most : max(most, least + length)])
                         key -= (key >> 63) << 64
                         yield digest, a, b - a, anchor, key, xxhash.xxh3_128_digest(data[a : b + length - 1])
 
@@ -128,26 +130,26 @@ def finer_runs(keyed: DataFrame, runs: DataFrame, piece: int, length: int) -> Da
 
 
 def sort_shards(strings: DataFrame, length: int, shard: int) -> DataFrame:
-    """(key, content, rel, m): runs of starts, in each string, whose bytes start elsewhere too.
+    """(digest, start, n): runs of starts, in each text, whose bytes start elsewhere too.
 
-    ``strings`` has (key, content, n, data), sorted by key and content in each partition.
-    Strings of whole keys are gathered up to ``shard`` bytes in a file on disk, and its
-    suffixes are sorted there; files are removed as soon as they are done with.
+    ``strings`` has (key, content, digest, start, n, data), sorted by key and content in
+    each partition. Strings of whole keys are gathered up to ``shard`` bytes in a file on
+    disk, and its suffixes are sorted there; files are removed as soon as they are done with.
     """
-    out = "key long, content binary, rel int, m int"
+    out = "digest binary, start int, n int"
     arrow = arrow_schema(strings, out)
 
     def sort(rows: list[tuple], folder: str):
         path = f"{folder}/shard"
         with open(path, "wb") as f:
-            for _, _, _, data in rows:
-                f.write((np.frombuffer(data, np.uint8).astype(np.uint16) + np.uint16(1)).tobytes() + b"\0\0")
+            for row in rows:
+                f.write((np.frombuffer(row[5], np.uint8).astype(np.uint16) + np.uint16(1)).tobytes() + b"\0\0")
         met = repeats(np.memmap(path, dtype=np.uint16, mode="r"), length, folder)
         at = 0
-        for key, content, n, data in rows:
+        for _, _, digest, start, n, data in rows:
             edges = np.flatnonzero(np.diff(np.r_[0, met[at : at + n].astype(np.int8), 0]))
             for a, b in edges.reshape(-1, 2).tolist():
-                yield key, content, a, b - a
+                yield digest, start + a, b - a
             at += len(data) + 1
 
     def rows(batches):
@@ -156,14 +158,12 @@ def sort_shards(strings: DataFrame, length: int, shard: int) -> DataFrame:
             held, size, last = [], 0, None
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if row[:2] == last:
-                        continue
-                    if size >= shard and row[0] != last[0]:
+                    if size >= shard and row[0] != last:
                         yield from sort(held, folder)
                         held, size = [], 0
                     held.append(row)
-                    size += len(row[3])
-                    last = row[:2]
+                    size += len(row[5])
+                    last = row[0]
             if held:
                 yield from sort(held, folder)
         finally:
@@ -173,16 +173,16 @@ def sort_shards(strings: DataFrame, length: int, shard: int) -> DataFrame:
 
 
 def strings_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, content, n, data) of the wanted runs, dealt out and sorted by key."""
+    """(key, content, digest, start, n, data) of the wanted runs, dealt out and sorted by key."""
     found = with_texts(keyed, wanted)
-    out = "key long, content binary, n int, data binary"
+    out = "key long, content binary, digest binary, start int, n int, data binary"
     arrow = arrow_schema(found, out)
 
     def rows(batches):
         for batch in batches:
-            for data, wanted in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for digest, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 for w in wanted:
-                    yield w["key"], w["content"], w["n"], data[w["start"] : w["start"] + w["n"] + length - 1]
+                    yield w["key"], w["content"], digest, w["start"], w["n"], data[w["start"] : w["start"] + w["n"] + length - 1]
 
     cut = found.mapInArrow(lambda batches: rows_to_batches(rows(batches), arrow, 2_000), out)
     total = wanted.agg(F.coalesce(F.sum(F.col("n") + F.lit(length - 1)), F.lit(0))).first()[0]
@@ -190,27 +190,62 @@ def strings_of(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_starts(keyed: DataFrame, length: int, hot: int, shard: int) -> DataFrame:
-    """(digest, start, n): runs of starts, in each text, of strings that start elsewhere too."""
+    """(digest, start, n): runs of starts, in each text, of strings that start elsewhere too.
+
+    Runs of equal bytes are one weighted string: all starts of all its copies repeat. One
+    copy stands for them when a key has several contents and goes to the next level; what
+    is found there for a string with several copies is known already.
+    """
     runs, found = materialize(first_runs(keyed, length), "runs"), None
-    for piece in (*PIECES, None):
+    for level, piece in enumerate((*PIECES, None)):
         contents = materialize(
-            runs.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("digest", "start", "n")).alias("at")), "contents"
+            runs.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("digest", "start", "n", "anchor")).alias("at")), "contents"
         )
         keys = materialize(contents.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "keys")
-        # Two runs of equal bytes are one weighted string; all their starts repeat.
         copied = runs.join(contents.where("copies > 1").select("key", "content"), ["key", "content"], "left_semi").select("digest", "start", "n")
-        few = keys.where(F.col("k") <= hot).select("key")
-        wanted = materialize(contents.join(sized(few), "key", "left_semi").select("at.digest", "at.start", "at.n", "key", "content"), "strings")
-        sorted_ = materialize(sort_shards(strings_of(keyed, wanted, length), length, shard), "sorted")
-        placed = runs.drop("n").join(sorted_, ["key", "content"]).select("digest", (F.col("start") + F.col("rel")).alias("start"), F.col("m").alias("n"))
-        found = copied.unionByName(placed) if found is None else found.unionByName(copied).unionByName(placed)
-        many = keys.where(F.col("k") > hot).select("key")
-        if piece is None or many.isEmpty():
+        found = copied if found is None else found.unionByName(copied)
+        if piece is None:
             break
-        runs = materialize(finer_runs(keyed, runs.join(sized(many), "key", "left_semi"), piece, length), "finer")
+        if level:
+            few = sized(keys.where(F.col("k") <= hot).select("key"), BROADCAST_ROWS)
+            wanted = materialize(contents.join(few, "key", "left_semi").select("at.digest", "at.start", "at.n", "key", "content"), "strings")
+            found = found.unionByName(materialize(sort_shards(strings_of(keyed, wanted, length), length, shard), "sorted"))
+        many = keys.where(F.col("k") > (hot if level else 1)).select("key")
+        if many.isEmpty():
+            break
+        firsts = contents.join(sized(many, BROADCAST_ROWS), "key", "left_semi").select("at.digest", "at.start", "at.n", "at.anchor", "key")
+        runs = materialize(finer_runs(keyed, firsts, piece, length), "finer")
     return found
 
 
+def joined_spans(found: DataFrame, length: int) -> DataFrame:
+    """(digest, begins, ends): the bytes under runs of starts (digest, start, n), as disjoint spans in order."""
+    gathered = found.groupBy("digest").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
+    out = "digest binary, begins array<long>, ends array<long>"
+    arrow = arrow_schema(gathered, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, sizes = batch.column(1), batch.column(2)
+            own = np.repeat(np.arange(batch.num_rows), starts.value_lengths().to_numpy())
+            begin = starts.flatten().to_numpy().astype(np.int64)
+            end = begin + sizes.flatten().to_numpy() - 1 + length
+            order = np.lexsort((begin, own))
+            own, begin, end = own[order], begin[order], end[order]
+            # Texts are laid one behind the other, so that one running maximum serves all.
+            offset = own * (int(end.max(initial=0)) + 1)
+            reach = np.maximum.accumulate(end + offset)
+            new = np.r_[True, (begin + offset)[1:] > reach[:-1]] if len(own) else np.empty(0, bool)
+            first = np.flatnonzero(new)
+            counts = np.bincount(own[first], minlength=batch.num_rows)
+            bounds = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+            last = np.r_[first[1:] - 1, len(own) - 1] if len(first) else first
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)).cast(arrow.field(1).type) for x in (begin[first], (reach - offset)[last])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *lists], schema=arrow)
+
+    return gathered.mapInArrow(run, out)
+
+
 def remove_repeats(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, shard: int = SHARD
 ) -> DataFrame:
@@ -218,9 +253,10 @@ def remove_repeats(
 
     A byte goes if a string of ``length`` bytes that covers it starts at another place, in
     this or another document; strings are those of the input, and never cross documents.
-    Every string is filed under the hash of its anchor gram, so that equal ones meet. Under
-    a key with several contents, suffixes are sorted in shards on disk. A key with more
-    than ``hot`` contents is made finer, twice at most, after which its strings are equal.
+    Every string is filed under the hash of its anchor gram, so that equal ones meet. A key
+    with several contents is made finer; where several remain, suffixes are sorted in
+    shards on disk. A finer key with more than ``hot`` contents is made finer again, twice
+    at most, after which its strings are equal.
     ``kept`` is binary, as cuts may fall inside a character. Null and empty texts have no
     bytes. Long texts are looked at in chunks; repeated rows repeat each other's strings; an
     empty table gives an empty result; columns other than the id and the text are not read.
@@ -229,27 +265,18 @@ def remove_repeats(
         raise ValueError(f"length must be at least {2 * GRAM}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    found = repeated_starts(keyed, length, hot, shard)
-    spans = materialize(found.groupBy("digest").agg(F.collect_list(F.struct("start", "n")).alias("found")), "found")
+    spans = materialize(joined_spans(repeated_starts(keyed, length, hot, shard), length), "spans")
     id_type = docs.schema[id_col].dataType.simpleString()
     out = f"{id_col} {id_type}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
-    joined = keyed.join(sized(spans, 200_000), "digest", "left").select(id_col, "text", "found")
+    joined = keyed.join(sized(spans, BROADCAST_ROWS), "digest", "left").select(id_col, "text", "begins", "ends")
     arrow = arrow_schema(joined, out)
 
-    def cut(data: bytes, found: list[dict] | None) -> tuple:
-        spans: list[list[int]] = []
-        for begin, end in sorted((w["start"], w["start"] + w["n"] - 1 + length) for w in found or ()):
-            if spans and begin <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], end)
-            else:
-                spans.append([begin, end])
-        kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(b for b, _ in spans), len(data)]))
-        return len(data), [{"begin": b, "end": e} for b, e in spans], kept
-
     def rows(batches):
         for batch in batches:
-            for own, data, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                yield own, *cut(data, found)
+            for own, data, begins, ends in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3)))):
+                begins, ends = begins or [], ends or []
+                kept = b"".join(data[a:b] for a, b in zip([0, *ends], [*begins, len(data)]))
+                yield own, len(data), [{"begin": a, "end": b} for a, b in zip(begins, ends)], kept
 
     return joined.mapInArrow(lambda batches: rows_to_batches(rows(batches), arrow, 1_000), out)
 
