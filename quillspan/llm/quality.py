@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame
 
 from quillspan.llm.text import map_texts
 
-#: (UTF-8 bytes below, lowest ratio, highest ratio) of compressed to raw bytes. A text
-#: shorter than the first bound's limit carries too little for zstandard to judge.
+#: (UTF-8 bytes below, lowest ratio, highest ratio) of compressed to raw bytes. The highest lie
+#: between prose and base64, random CJK or Latin-1 as UTF-8. Below 112 bytes prose and random
+#: text have the same ratios, so that zstandard can't judge a shorter text.
 BANDS = (
-    (128, None, None),
-    (256, 0.27, None),
-    (512, 0.33, 0.95),
-    (1024, 0.30, 0.92),
-    (4096, 0.26, 0.90),
-    (float("inf"), 0.20, 0.90),
+    (112, None, None),
+    (128, None, 0.99),
+    (192, 0.27, 0.94),
+    (256, 0.27, 0.88),
+    (512, 0.33, 0.79),
+    (1024, 0.30, 0.74),
+    (2048, 0.26, 0.73),
+    (4096, 0.26, 0.70),
+    (float("inf"), 0.20, 0.70),
 )
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.20, 0.90)
+CHUNK_BAND = (0.20, 0.70)
 CHUNK_SHARE = 0.5
 LEVEL = 3
 

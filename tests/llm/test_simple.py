@@ -65,6 +65,36 @@ def test_quality_bands():
     assert not kept(" ".join("".join(chr(rng.randrange(33, 255)) for _ in range(9)) for _ in range(2000)))
 
 
+@pytest.mark.parametrize("n", [120, 180, 250, 500, 1000, 2000, 4000, 20_000])
+def test_quality_rejects_incompressible_utf8(n):
+    import base64
+    import random
+
+    rng = random.Random(n)
+    prose = " ".join("".join(rng.choice("eeeetttaaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    spaced = lambda text: (" ".join(text[i : i + 8] for i in range(0, len(text), 8))).encode()[:n].decode("utf-8", "ignore")
+    junk = {
+        "base64": spaced(base64.b64encode(rng.randbytes(n)).decode()),
+        "latin": spaced("".join(map(chr, rng.choices([*range(33, 127), *range(161, 256)], k=n)))),
+        "ascii": spaced("".join(chr(rng.randrange(33, 127)) for _ in range(n))),
+    }
+    kept = lambda text: quality.measure()(text.encode())[-1]
+    assert kept(prose[:n]) and not any(map(kept, junk.values()))
+    assert all(len(text.split()) >= quality.MIN_WORDS for text in junk.values())
+
+
+def test_quality_rejects_incompressible_chunks():
+    import base64
+    import random
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = " ".join(rng.choice(vocabulary) for _ in range(3000))[:12_000]
+    data = (prose + "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(230))).encode()
+    row = quality.measure()(data)
+    assert row[8] > len(data) // quality.CHUNK_BYTES / 2 and row[5] < 0.7 and not row[-1]
+
+
 def test_lexicon_is_minimal_and_exact():
     words = sorted({f"{a}{b}ing".encode() for a in ("walk", "talk", "st", "") for b in ("", "er", "ers")} | {b"walk", b"a"})
     data = automaton.compile_lexicon(words, [[i, i + 1] for i in range(len(words))])
