@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from quillspan.llm.text import arrow_schema
 from quillspan.session import materialize
 
-#: Pairs counted less often back off to the single word, at this factor.
+#: The longest n-grams; those counted less often back off to one word less, at this factor.
+ORDER = 2
 MIN_COUNT = 2
 FACTOR = 0.4
 #: Words whose counts or pairs are gathered in memory before they are emitted.
@@ -45,32 +47,46 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, place of the id, first, second): pairs of hashed words of some documents at a time.
+def contexts_of(hashes: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the one, two, ... ``order`` - 1 words before each place from ``order`` - 1 on; one word is its own key."""
+    n, out = len(hashes) - order + 1, []
+    for k in range(1, order):
+        key = hashes[order - 1 - k : order - 1 - k + n].view(np.uint64)
+        for i in range(order - k, order - 1):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[i : i + n].view(np.uint64)
+        out.append((key ^ (key >> np.uint64(29))).view(np.int64) if k > 1 else key.view(np.int64))
+    return out
 
-    A text longer than a block is cut; the word before the cut goes with the next part.
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int = ORDER) -> Iterator[tuple[list, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(ids, place of the id, contexts, word): hashed words of some documents at a time, with the keys of what stands before.
+
+    A text longer than a block is cut; the words before the cut go with the next part.
     """
     hashes = WordHashes()
-    ids, counts, firsts, seconds, held = [], [], [], [], 0
+    ids, counts, befores, seconds, held = [], [], [], [], 0
 
     def block():
-        return ids, np.repeat(np.arange(len(ids)), counts), np.concatenate(firsts), np.concatenate(seconds)
+        befores_of = [np.concatenate(x) for x in zip(*befores)]
+        return ids, np.repeat(np.arange(len(ids)), counts), befores_of, np.concatenate(seconds)
 
     for batch in batches:
         for own, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             words = words_of(data or b"")
-            last = np.array([START], dtype=np.int64)
+            last = np.full(order - 1, START, dtype=np.int64)
             for i in range(0, len(words), size):
                 second = hashes.of(words[i : i + size])
+                joined = np.concatenate([last, second])
                 ids.append(own)
                 counts.append(len(second))
-                firsts.append(np.concatenate([last, second[:-1]]))
+                befores.append(contexts_of(joined, order))
                 seconds.append(second)
-                last = second[-1:]
+                last = joined[len(joined) - order + 1 :]
                 held += len(second)
                 if held >= size:
                     yield block()
-                    ids, counts, firsts, seconds, held = [], [], [], [], 0
+                    ids, counts, befores, seconds, held = [], [], [], [], 0
     if ids:
         yield block()
 
@@ -82,7 +98,7 @@ def word_counts(docs: DataFrame, *, id_col: str, text_col: str, block: int) -> D
     arrow = arrow_schema(texts, out)
 
     def run(batches):
-        for _, _, first, second in blocks(batches, block):
+        for _, _, (first,), second in blocks(batches, block):
             words, place = np.unique(np.concatenate([first, second]), return_inverse=True)
             n = np.bincount(place[len(first) :], minlength=len(words))
             n_first = np.bincount(place[: len(first)], minlength=len(words))
@@ -91,56 +107,124 @@ def word_counts(docs: DataFrame, *, id_col: str, text_col: str, block: int) -> D
     return texts.mapInArrow(run, out).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
 
 
-def pair_rows(docs: DataFrame, *, id_col: str, text_col: str, block: int) -> DataFrame:
-    """(first, second, ids): the pairs of a block of documents, each with the ids of its places."""
+def gram_counts(docs: DataFrame, order: int, *, id_col: str, text_col: str, block: int) -> DataFrame:
+    """(context, second, n): how often each n-gram of ``order`` words stands."""
+    out = "context long, second long, n long"
+    texts = docs.select(F.col(id_col), F.col(text_col))
+    arrow = arrow_schema(texts, out)
+
+    def run(batches):
+        for _, _, contexts, second in blocks(batches, block, order):
+            by = np.lexsort((second, contexts[-1]))
+            context, second = contexts[-1][by], second[by]
+            cuts = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (second[1:] != second[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(context[cuts]), pa.array(second[cuts]), pa.array(np.diff(np.r_[cuts, len(second)]))], schema=arrow)
+
+    return texts.mapInArrow(run, out).groupBy("context", "second").agg(F.sum("n").alias("n"))
+
+
+def hot_contexts(docs: DataFrame, words: list[int], most: float, order: int, *, id_col: str, text_col: str, block: int) -> DataFrame:
+    """(first, hot): contexts of ``order`` - 1 words counted more than ``most`` times; each of their words is among ``words``."""
+    out = "first long, n long"
+    texts = docs.select(F.col(id_col), F.col(text_col))
+    arrow, hot = arrow_schema(texts, out), np.array(words, dtype=np.int64)
+
+    def run(batches):
+        for _, place, contexts, second in blocks(batches, block, order):
+            own, n = np.isin(contexts[0], hot), len(second)
+            whole = own.copy()
+            for k in range(1, order - 1):  # in the same part of a text; before a part's first words any may stand
+                before = np.r_[np.ones(k, bool), own[: n - k]][:n]
+                same = np.r_[np.zeros(k, bool), place[k:] == place[: n - k]][:n]
+                whole &= before | ~same
+            values, counts = np.unique(contexts[-1][whole], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], schema=arrow)
+
+    return texts.mapInArrow(run, out).groupBy("first").agg(F.sum("n").alias("hot")).where(F.col("hot") > most)
+
+
+def gram_rows(docs: DataFrame, order: int, *, id_col: str, text_col: str, block: int, lower: bool = True) -> DataFrame:
+    """(first, second, lower, ids): the n-grams of a block of documents, each with the ids of its places.
+
+    ``first`` is the key of the words before the last one; ``lower`` has those of the
+    shorter contexts, longest first, unless it isn't asked for.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = f"first long, second long, ids array<{id_type}>"
+    lower = lower and order > 2
+    out = f"first long, second long, {'lower array<long>, ' if lower else ''}ids array<{id_type}>"
     texts = docs.select(F.col(id_col), F.col(text_col))
     arrow = arrow_schema(texts, out)
+    type_of = arrow.field("ids").type
 
     def run(batches):
-        for ids, place, first, second in blocks(batches, block):
-            order = np.lexsort((second, first))
-            first, second = first[order], second[order]
+        for ids, place, contexts, second in blocks(batches, block, order):
+            by = np.lexsort((second, contexts[-1]))
+            first, second = contexts[-1][by], second[by]
             cuts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-            values = pa.array(ids, arrow.field(2).type.value_type).take(pa.array(place[order]))
+            values = pa.array(ids, type_of.value_type).take(pa.array(place[by]))
+            shorter = np.stack([c[by] for c in contexts[-2::-1]], axis=1) if lower else None
             for i in range(0, len(cuts), 50_000):
                 own = cuts[i : i + 50_000]
                 end = cuts[i + 50_000] if i + 50_000 < len(cuts) else len(first)
                 offsets = pa.array(np.r_[own, end] - own[0], pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, values.slice(own[0], end - own[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(first[own]), pa.array(second[own]), lists.cast(arrow.field(2).type)], schema=arrow)
+                rows = [pa.array(first[own]), pa.array(second[own])]
+                if lower:
+                    each = pa.array(np.arange(len(own) + 1) * (order - 2), pa.int32())
+                    rows.append(pa.ListArray.from_arrays(each, pa.array(shorter[own].ravel())).cast(arrow.field("lower").type))
+                yield pa.RecordBatch.from_arrays([*rows, lists.cast(type_of)], schema=arrow)
 
     return texts.mapInArrow(run, out)
 
 
-def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, factor: float = FACTOR, block: int = BLOCK) -> DataFrame:
+def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, factor: float = FACTOR, block: int = BLOCK) -> DataFrame:
     """The id, n_tokens, n_backoff, log_score and mean_log_score of every document.
 
-    A word (lower-cased A-Z, between white space) scores count(pair) / count(first) if the
-    pair of the word before it and itself was counted ``min_count`` times or more, else
-    ``factor`` * count(word) / count of all words; a document's score is the sum of the
-    logarithms. Counts are those of all documents. Pairs are gathered by block of documents
-    before they are dealt out by a hash of the first word, so that a pair comes at most once
-    a block; frequent first words are dealt out by the second word too. Texts without words
-    (null, empty): counts 0, log_score 0, mean null. Rows with equal ids, null ones too,
-    are one document. An empty table gives an empty result; other columns are not read.
+    A word (lower-cased A-Z, between white space) scores count(n-gram) / count(context) if
+    the n-gram of the ``order`` - 1 words before it and itself was counted ``min_count``
+    times or more, else ``factor`` times the score with one word less before it, and at
+    last ``factor`` * ... * count(word) / count of all words; a document's score is the sum
+    of the logarithms, and n_backoff the number of words that backed off at all. A context
+    that begins before the text counts as one with the text's start. Counts are those of
+    all documents; the scored texts are among them, so with ``min_count`` 1 no word backs
+    off. n-grams are gathered by block of documents before they are dealt out by a hash of
+    the context, so that one comes at most once a block; frequent contexts are dealt out by
+    the last word too. Texts without words (null, empty): counts 0, log_score 0, mean null.
+    Rows with equal ids, null ones too, are one document. An empty table gives an empty
+    result; other columns are not read.
     """
-    singles = materialize(word_counts(docs, id_col=id_col, text_col=text_col, block=block), "words")
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    columns = {"id_col": id_col, "text_col": text_col, "block": block}
+    singles = materialize(word_counts(docs, **columns), "words")
     total = singles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = singles.where(F.col("n_first") > max(1, HOT_SHARE * total)).select(F.col("word").alias("first"), F.col("n_first").alias("hot"))
-    pairs = pair_rows(docs, id_col=id_col, text_col=text_col, block=block).join(F.broadcast(hot), "first", "left")
-    pairs = pairs.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod("second", F.lit(SALT))).cast("int")).repartition("first", "salt")
+    most = max(1, HOT_SHARE * total)
+    hot = singles.where(F.col("n_first") > most).select(F.col("word").alias("first"), F.col("n_first").alias("hot"))
+    if order > 2:
+        hot = hot_contexts(docs, [START, *(r["first"] for r in hot.collect())], most, order, **columns)
+    grams = gram_rows(docs, order, **columns, lower=min_count > 1).join(F.broadcast(hot), "first", "left")
+    grams = grams.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod("second", F.lit(SALT))).cast("int")).repartition("first", "salt")
     n = F.size("ids")
-    counted = pairs.withColumn("n_pair", F.sum(n).over(Window.partitionBy("first", "salt", "second"))).withColumn(
+    counted = grams.withColumn("n_gram", F.sum(n).over(Window.partitionBy("first", "salt", "second"))).withColumn(
         "n_first", F.coalesce("hot", F.sum(n).over(Window.partitionBy("first", "salt")))
     )
     own = F.explode("ids").alias("id")
-    seen = counted.where(F.col("n_pair") >= min_count).select(F.log(F.col("n_pair") / F.col("n_first")).alias("s"), own).select("id", "s", F.lit(0).alias("b"))
-    # Both kinds need the same columns, so that one exchange serves them.
-    rare = counted.where((F.col("n_pair") < min_count) & (F.col("n_first") > 0)).select(F.col("second").alias("word"), own)
-    backed = rare.join(singles.select("word", "n"), "word").select("id", F.log(factor * F.col("n") / F.lit(float(max(total, 1)))).alias("s"), F.lit(1).alias("b"))
-    sums = seen.unionByName(backed).groupBy("id").agg(F.count("*").alias("n_tokens"), F.sum("b").alias("n_backoff"), F.sum("s").alias("log_score"))
+    scored = counted.where(F.col("n_gram") >= min_count).select(F.log(F.col("n_gram") / F.col("n_first")).alias("s"), own).select("id", "s", F.lit(0).alias("b"))
+    if min_count > 1:
+        # Both kinds need the same columns, so that one exchange serves them.
+        rare = counted.where((F.col("n_gram") < min_count) & (F.col("n_first") > 0))
+        rare = rare.select(F.col("second").alias("word"), *(["lower"] if order > 2 else []), own)
+        for k in range(order - 1, 1, -1):
+            counts = materialize(gram_counts(docs, k, **columns), "counts")
+            of_context = counts.groupBy("context").agg(F.sum("n").alias("n_context"))
+            shorter = counts.where(F.col("n") >= min_count).join(of_context, "context").select("context", F.col("second").alias("word"), F.log(F.col("n") / F.col("n_context")).alias("s"))
+            rare = rare.withColumn("context", F.col("lower")[order - 1 - k]).join(shorter, ["context", "word"], "left")
+            rare = materialize(rare.select("id", "word", "lower", "s"), "rare")
+            found = rare.where("s IS NOT NULL").select("id", (F.col("s") + (order - k) * math.log(factor)).alias("s"), F.lit(1).alias("b"))
+            scored, rare = scored.unionByName(found), rare.where("s IS NULL").drop("s")
+        single = F.log(F.lit(factor ** (order - 1)) * F.col("n") / F.lit(float(max(total, 1))))
+        scored = scored.unionByName(rare.join(singles.select("word", "n"), "word").select("id", single.alias("s"), F.lit(1).alias("b")))
+    sums = scored.groupBy("id").agg(F.count("*").alias("n_tokens"), F.sum("b").alias("n_backoff"), F.sum("s").alias("log_score"))
     ids = docs.select(F.col(id_col)).distinct()
     return ids.join(sums, F.col(id_col).eqNullSafe(F.col("id")), "left").select(
         id_col,

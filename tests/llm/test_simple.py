@@ -142,3 +142,30 @@ def test_backoff(docs, rows, none, block):
     for i, (n, b, s) in want.items():
         assert got[i][:2] == (n, b) and math.isclose(got[i][2], s, rel_tol=1e-9, abs_tol=1e-9)
     assert backoff.backoff_scores(none).count() == 0
+
+
+@pytest.mark.parametrize("order, least, block, share", [(3, 1, 7, 1e-3), (3, 2, 1_000_000, 0.0), (4, 2, 5, 0.01)])
+def test_backoff_of_higher_orders(docs, rows, monkeypatch, order, least, block, share):
+    monkeypatch.setattr(backoff, "HOT_SHARE", share)
+    texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    grams, contexts = Counter(), Counter()
+    at = lambda w, p, k: tuple(([None] * order + w)[p + order - k + 1 : p + order + 1])
+    for _, w in texts:
+        for p in range(len(w)):
+            for k in range(1, order + 1):
+                grams[at(w, p, k)] += 1
+                contexts[k, at(w, p, k)[:-1]] += 1
+    want = {}
+    for i, w in texts:
+        n, b, s = want.get(i, (0, 0, 0.0))
+        for p in range(len(w)):
+            k = order
+            while k > 1 and grams[at(w, p, k)] < least:
+                k -= 1
+            n, b = n + 1, b + (k < order)
+            s += (order - k) * math.log(0.4) + math.log(grams[at(w, p, k)] / contexts[k, at(w, p, k)[:-1]])
+        want[i] = (n, b, s)
+    got = {r.doc_id: (r.n_tokens, r.n_backoff, r.log_score) for r in backoff.backoff_scores(docs, order=order, min_count=least, block=block).collect()}
+    assert got.keys() == want.keys()
+    for i, (n, b, s) in want.items():
+        assert got[i][:2] == (n, b) and math.isclose(got[i][2], s, rel_tol=1e-9, abs_tol=1e-9)
