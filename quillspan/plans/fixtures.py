@@ -69,6 +69,13 @@ def seeds(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_nationkey").alias("query_id"), F.concat(F.lit("[customer] "), F.col("c_custkey").cast("string")).alias("node"))
 
 
+def segment_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, node): one query a market segment, numbered by name from 0, all its customers."""
+    c = read_table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.concat(F.lit("[customer] "), F.col("c_custkey").cast("string")).alias("node"))
+    names = c.agg(F.array_sort(F.collect_set("segment")).alias("names"))
+    return c.crossJoin(F.broadcast(names)).where("segment IS NOT NULL").select((F.array_position("names", F.col("segment")) - 1).alias("query_id"), "node").distinct()
+
+
 DENSE_SQL = """
 dq AS (SELECT vec_id AS query_id, embedding AS q, label AS q_label FROM embeddings WHERE vec_id % 50 = 0),
 sims AS (SELECT query_id, vec_id AS doc_id, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM embeddings, dq WHERE vec_id <> query_id),

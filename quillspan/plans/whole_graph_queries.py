@@ -1,0 +1,88 @@
+"""The graph queries over all five relations, from all customers of each segment.
+
+The queries of the same names without ``_whole`` keep the part of the graph that their SQL
+names. SQL is too slow on the whole graph; brute force on small tables tests these.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillspan.functions.text import node_type
+from quillspan.operators import graph as G
+from quillspan.plans import fixtures as X
+from quillspan.plans.registry import query
+from quillspan.session import read_table
+
+WEIGHTS = (("placed", 1.0), ("contains", 0.9), ("supplied_by", 0.75), ("in_nation", 0.5), ("in_region", 0.25))
+
+
+@query()
+def e15_random_walk_whole(spark, d):
+    x = G.random_walk(X.edges(spark, d), X.segment_seeds(spark, d))
+    return x.select("query_id", "node", F.round("mass", 8).alias("mass"))
+
+
+@query()
+def e16_personalised_rank_whole(spark, d):
+    """All rounds of the operator, and every node with a mass."""
+    return G.personalised_rank(X.edges(spark, d), X.segment_seeds(spark, d))
+
+
+@query()
+def e18_hops_whole(spark, d):
+    return G.hops(X.edges(spark, d), X.segment_seeds(spark, d), 3)
+
+
+@query()
+def e20_reach_by_type_whole(spark, d):
+    return e18_hops_whole(spark, d).groupBy("query_id", node_type(F.col("node")).alias("kind"), "hops").agg(F.count("*").alias("n"))
+
+
+@query()
+def e22_hitting_whole(spark, d):
+    """The targets of a nation are all its suppliers."""
+    goal = read_table(spark, d, "supplier").select(F.col("s_nationkey").alias("query_id"), F.concat(F.lit("[supplier] "), F.col("s_suppkey").cast("string")).alias("node"))
+    return G.hitting(X.edges(spark, d), goal, 2).select("query_id", "node", F.round("p", 8).alias("p"))
+
+
+def layers(spark, d, n, **how):
+    weights = spark.createDataFrame(WEIGHTS, "rel string, weight double")
+    state, edges = X.segment_seeds(spark, d).withColumn("value", F.lit(1.0)), X.edges(spark, d)
+    for _ in range(n):
+        state = G.message_pass(edges, state, weights, **how)
+    return state.select("query_id", "node", F.round("value", 6).alias("value"))
+
+
+@query()
+def e24_sum_product_whole(spark, d):
+    return layers(spark, d, 1)
+
+
+@query()
+def e24_max_plus_whole(spark, d):
+    return layers(spark, d, 1, message="add", aggregate="max")
+
+
+@query()
+def e24_min_product_whole(spark, d):
+    return layers(spark, d, 1, aggregate="min")
+
+
+@query()
+def e25_bellman_ford_whole(spark, d):
+    return layers(spark, d, 3)
+
+
+@query()
+def d20_moments_whole(spark, d):
+    state = X.segment_seeds(spark, d).withColumn("value", 1.0 + F.col("query_id"))
+    m = G.moments(X.edges(spark, d), state)
+    return m.withColumns({c: F.round(c, 6) for c in ("mean", "deviation", "scale")})
+
+
+@query()
+def e29_seed_weights_whole(spark, d):
+    w = X.segment_seeds(spark, d).join(G.degrees(X.edges(spark, d)), "node").withColumn("w", F.pow("degree", F.lit(-0.5)))
+    return w.select("query_id", "node", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("query_id")), 6).alias("weight"))
