@@ -211,3 +211,13 @@ def b15_document_ids(spark, d):
     n = read_table(spark, d, "nation").join(read_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     doi = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))
     return n.select(F.col("r_name").alias("name"), F.lower("n_name").alias("doi"), T.document_id(doi, F.lower("n_name")).alias("doc_id"))
+
+
+@query()
+def b44_jaccard_whole(spark, d):
+    """All pairs of items that share a word; any other pair has 0. ``b44_jaccard`` has the pairs that its SQL names."""
+    words = read_table(spark, d, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 2)).alias("w"))
+    words = words.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    a, b = words.select(F.col("item_id").alias("a"), F.col("n").alias("n_a"), "word"), words.select(F.col("item_id").alias("b"), F.col("n").alias("n_b"), "word")
+    shared = a.join(b, "word").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n"))
+    return shared.select("a", "b", F.round(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n")), 6).alias("jaccard"))

@@ -82,3 +82,8 @@ def test_layers_and_weights(spark, folder, graph):
     assert weights == {(q, n): round(len(near[n]) ** -0.5 / total, 6) if q == 0 else 1.0 for q, x in seeds.items() for n in x}
     hit = {(r.query_id, r.node) for r in QUERIES["e22_hitting_whole"](spark, folder).collect()}
     assert {(0, "[order] 7"), (1, "[order] 8"), (0, "[supplier] 1")} <= hit
+
+
+def test_jaccard(spark, folder):
+    got = {(r.a, r.b): r.jaccard for r in QUERIES["b44_jaccard_whole"](spark, folder).collect()}
+    assert got == {(1, 2): 0.5, (1, 23): 1.0, (2, 23): 0.5}
