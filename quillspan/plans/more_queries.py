@@ -119,6 +119,13 @@ def c21_linked_entities(spark, d):
     return met.groupBy("o_custkey").agg(F.array_join(F.slice(parts, 1, 5).cast("array<string>"), ",").alias("parts"), F.count("*").alias("n"))
 
 
+@query()
+def c21_linked_entities_whole(spark, d):
+    """(o_custkey, l_partkey): all linked entities, a row each. ``c21_linked_entities`` has the filter and the cut of its SQL."""
+    li = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    return read_table(spark, d, "orders").select("o_orderkey", "o_custkey").join(li, "o_orderkey").select("o_custkey", "l_partkey").distinct()
+
+
 @query("SELECT doc_id, coalesce(CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'poor' END, CASE WHEN n_chars > 1000 THEN 'long' END, 'unknown') AS label FROM documents LEFT JOIN labels USING (doc_id)")
 def c20_override_precedence(spark, d):
     known = read_table(spark, d, "labels").select("doc_id", "quality")

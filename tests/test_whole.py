@@ -87,3 +87,8 @@ def test_layers_and_weights(spark, folder, graph):
 def test_jaccard(spark, folder):
     got = {(r.a, r.b): r.jaccard for r in QUERIES["b44_jaccard_whole"](spark, folder).collect()}
     assert got == {(1, 2): 0.5, (1, 23): 1.0, (2, 23): 0.5}
+
+
+def test_linked_entities(spark, folder):
+    got = sorted(tuple(r) for r in QUERIES["c21_linked_entities_whole"](spark, folder).select("o_custkey", "l_partkey").collect())
+    assert got == [(1, p) for p in range(8)] + [(2, 3), (11, 0)]
