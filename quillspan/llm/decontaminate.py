@@ -101,28 +101,56 @@ def phrase_matches(index: DataFrame, tokens: DataFrame, *, window: int = WINDOW_
 def proximity_matches(index: DataFrame, tokens: DataFrame, *, slop: int = 8, share: float = 0.8) -> DataFrame:
     """(row_id, item_id, first_pos, last_pos, n_terms): items whose terms stand close, in any order.
 
-    Around each posting of an item's rarest term, within the item's length plus ``slop``
-    words to either side, at least ``share`` of the item's distinct terms occur.
+    Around a posting of one of an item's rarest terms, within the item's length plus
+    ``slop`` words to either side, at least ``share`` of the item's distinct terms occur.
+    One more term is tried than may be missing, terms without postings included, so that
+    one of them stands in every match. Rows that hold too few of the terms anywhere go first.
     """
     counts = index.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("freq"))
-    terms = tokens.groupBy("item_key", "item_id", "n", "term").agg(F.min("ipos").alias("ipos"))
-    ranked = terms.join(counts, "term").groupBy("item_key").agg(F.min(F.struct("freq", "term")).alias("r"))
-    sizes = terms.groupBy("item_key", "item_id", "n").agg(F.count("*").alias("wanted"))
-    seeds = sized(sizes.join(ranked, "item_key").select("item_key", "item_id", "n", "wanted", F.col("r.term").alias("term")))
+    terms = tokens.select("item_key", "term").distinct()
+    least = F.ceil(F.lit(share) * F.col("wanted"))
+    sizes = tokens.groupBy("item_key", "item_id", "n").agg(F.count_distinct("term").alias("wanted")).withColumn("least", least)
+    rarity = Window.partitionBy("item_key").orderBy("freq", "term")
+    ranked = terms.join(counts, "term", "left").select("item_key", "term", F.coalesce("freq", F.lit(0)).alias("freq")).withColumn("at", F.row_number().over(rarity))
+    seeds = materialize(ranked.join(sizes, "item_key").where(F.col("at") <= F.col("wanted") - F.col("least") + 1).select("item_key", "n", "term"), "rarest")
     postings = index.where("term IS NOT NULL").select("row_id", "pos", "term")
-    begun = materialize(postings.join(seeds, "term").select("row_id", "item_key", "item_id", "n", "wanted", F.col("pos").alias("at")), "seeds")
-    near = postings.join(sized(begun.select("row_id").distinct()), "row_id", "left_semi")
-    pairs = begun.join(sized(terms.select("item_key", "term")), "item_key").join(near, ["row_id", "term"])
+    held = postings.select("row_id", "term").distinct()
+    tried = held.join(sized(seeds.select("item_key", "term")), "term").select("row_id", "item_key").distinct()
+    enough = tried.join(sized(terms), "item_key").join(held, ["row_id", "term"]).groupBy("row_id", "item_key").agg(F.count("*").alias("n_held"))
+    both = enough.join(sized(sizes.select("item_key", "item_id", "n", "wanted", "least")), "item_key").where(F.col("n_held") >= F.col("least"))
+    both = materialize(both.select("row_id", "item_key", "item_id", "n", "least"), "rows")
+    near = postings.join(sized(both.select("row_id").distinct()), "row_id", "left_semi")
+    begun = both.join(sized(seeds.select("item_key", "term")), "item_key").join(near, ["row_id", "term"])
+    begun = materialize(begun.select("row_id", "item_key", "item_id", "n", "least", F.col("pos").alias("at")), "seeds")
+    pairs = begun.join(sized(terms), "item_key").join(near, ["row_id", "term"])
     return (
         pairs.where(F.abs(F.col("pos") - F.col("at")) < F.col("n") + slop)
-        .groupBy("row_id", "item_key", "item_id", "wanted", "at")
+        .groupBy("row_id", "item_key", "item_id", "least", "at")
         .agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count_distinct("term").alias("n_terms"))
-        .where(F.col("n_terms") >= share * F.col("wanted"))
+        .where(F.col("n_terms") >= F.col("least"))
         .select("row_id", "item_id", "first_pos", "last_pos", "n_terms")
         .distinct()
     )
 
 
+def proximity(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", slop: int = 8, share: float = 0.8) -> DataFrame:
+    """The id, n_words, n_near_items and near_items_sha256 of every row of ``docs``, by ``proximity_matches``.
+
+    A null item id is not counted. Rows, null texts and items are treated as by ``contamination``.
+    """
+    tokens = item_tokens(items, item_col=item_col, text_col=text_col)
+    index = build_index(docs, tokens.select("term").distinct(), id_col=id_col, text_col=text_col)
+    met = proximity_matches(index, tokens, slop=slop, share=share)
+    ids = met.groupBy("row_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    ids_or_none = F.coalesce("ids", F.array().cast("array<string>"))
+    return index.where("term IS NULL").join(ids, "row_id", "left").select(
+        F.col("doc_id").alias(id_col),
+        F.col("pos").cast("long").alias("n_words"),
+        F.size(ids_or_none).cast("long").alias("n_near_items"),
+        F.sha2(F.concat_ws(",", ids_or_none), 256).alias("near_items_sha256"),
+    )
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,

@@ -96,3 +96,12 @@ def test_proximity(spark):
     found = D.proximity_matches(index, tokens, slop=3, share=1.0)
     ids = index.where("term IS NULL").select("row_id", "doc_id")
     assert {(r.doc_id, r.item_id) for r in found.join(ids, "row_id").collect()} == {(1, 7)}
+
+
+def test_proximity_without_the_rarest_term(spark):
+    item = "one two three four five six seven eight nine ten"
+    texts = [(1, item.replace("ten", "x")), (2, "y " + item.replace("one", "a").replace("five", "b")), (3, item.replace("one", "a").replace("two", "b").replace("six", "c")), (4, "ten"), (5, None), (None, item)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = D.proximity(docs, spark.createDataFrame([(7, item), (8, "alpha beta gamma delta epsilon"), (9, None)], "item_id long, text string")).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert sorted((r.doc_id or 0, r.n_near_items, r.near_items_sha256 == sha("7")) for r in got) == [(0, 1, True), (1, 1, True), (2, 1, True), (3, 0, False), (4, 0, False), (5, 0, False)]
