@@ -90,7 +90,8 @@ def candidate_lines(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col
     """(doc_id, line_no, keys, line) of the wanted lines; ``wanted`` has (doc_id, line_no, keys)."""
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "keys")).alias("wanted"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    met = texts.join(sized(materialize(by_doc, "wanted")), "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
+    by_doc = materialize(by_doc.withColumnRenamed("doc_id", "of"), "wanted")
+    met = texts.join(sized(by_doc), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
     line = F.regexp_replace(F.get("lines", F.col("w.line_no")), r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
     return met.select("doc_id", "w.line_no", "w.keys", line.alias("line")).dropDuplicates(["doc_id", "line_no"])
 

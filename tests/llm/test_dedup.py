@@ -146,3 +146,9 @@ def test_suffix_dedup(docs, rows, none, hot, shard):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     if hot == 4000:
         assert suffixdedup.remove_repeats(none).count() == 0
+
+
+def test_line_dedup_from_a_null_id(spark):
+    line = "the quick brown fox jumps over it"
+    got = linededup.dedup_lines(spark.createDataFrame([(None, line), (1, line + "!"), (2, "another line of its own")], "doc_id long, text string"))
+    assert {r.doc_id: (r.n_near, r.text) for r in got.collect()} == {None: (0, line), 1: (1, ""), 2: (0, "another line of its own")}
