@@ -20,8 +20,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of linked fingerprints the document with the smallest id stays, or one if all ids are null."""
+    return simhash.keep_first(docs, null_ids=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

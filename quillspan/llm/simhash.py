@@ -181,7 +181,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    return docs.join(sized(materialize(kept.select(id_col).distinct(), "kept")), id_col, "left_semi").select(docs.columns)
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component.
+
+    Rows with a null id go, unless ``null_ids`` is set: then one row stays of each
+    component that has no other id.
+    """
+    near = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col), "near")
+    kept = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
+    out = docs.join(sized(materialize(kept, "kept")), id_col, "left_semi").select(docs.columns)
+    orphans = near.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
+    if not null_ids or orphans.isEmpty():
+        return out
+    # All members of such a component have null ids, so that these rows alone give the same components.
+    tagged = materialize(docs.where(F.col(id_col).isNull()).withColumn("__row", F.monotonically_increasing_id()), "without-id")
+    own = near_duplicates(tagged, id_col="__row", text_col=text_col).join(sized(orphans), "fingerprint", "left_semi")
+    first = materialize(own.where(F.col("__row") == F.col("component_id")).select("__row"), "first-rows")
+    return out.unionByName(tagged.join(sized(first), "__row", "left_semi").select(docs.columns))

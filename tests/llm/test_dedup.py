@@ -152,3 +152,10 @@ def test_line_dedup_from_a_null_id(spark):
     line = "the quick brown fox jumps over it"
     got = linededup.dedup_lines(spark.createDataFrame([(None, line), (1, line + "!"), (2, "another line of its own")], "doc_id long, text string"))
     assert {r.doc_id: (r.n_near, r.text) for r in got.collect()} == {None: (0, line), 1: (1, ""), 2: (0, "another line of its own")}
+
+
+def test_keep_first_with_null_ids(spark):
+    text = "alone in its group as no other text has these words"
+    rows = [(None, text), (None, text), (None, "a second text that nothing else is like at all"), (3, "copied text with a few words"), (None, "copied text with a few words"), (4, "another one")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), null_ids=True)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, text), (0, rows[2][1]), rows[3], rows[5]])
