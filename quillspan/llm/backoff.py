@@ -1,4 +1,11 @@
-"""Stupid-backoff language-model scores from n-gram count tables, computed relationally."""
+"""Stupid-backoff language-model scores from n-gram count tables that are partitioned by hash.
+
+Documents are gathered in blocks. A block sends each distinct n-gram of its documents once,
+with its count there, to the bucket that the n-gram's hash names; buckets add up the counts
+of all blocks and send them back; the block joins them to its exploded n-grams and sums by
+document. Distinct words are counted first and get numbers, so that longer n-grams travel
+as sorted numbers, of which the differences are packed.
+"""
 
 from __future__ import annotations
 
@@ -8,245 +15,366 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.text import arrow_schema
 from quillspan.session import materialize
 
-#: The longest n-grams; those counted less often back off to one word less, at this factor.
-ORDER = 2
-MIN_COUNT = 2
+#: The longest n-grams; those that no other document holds back off to one word less, at this factor.
+ORDER = 3
 FACTOR = 0.4
-#: Words whose counts or pairs are gathered in memory before they are emitted.
-BLOCK = 1_500_000
-#: A first word with a larger share of all words is dealt out over SALT parts; at most 1 / HOT_SHARE are.
-HOT_SHARE = 1e-3
-SALT = 64
-#: The hash that stands for the place before a text's first word.
-START = 0
-
-
-class WordHashes:
-    """Signed 64-bit hashes of words; a bounded number is remembered."""
-
-    def __init__(self, most: int = 400_000):
-        self.seen: dict[bytes, int] = {}
-        self.most = most
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.seen) > self.most:
-            self.seen = {}
-        seen = self.seen
-        for w in [w for w in set(words) if w not in seen]:
-            seen[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
-
-
-def words_of(data: bytes) -> list[bytes]:
-    return data.lower().split()
-
-
-def contexts_of(hashes: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of the one, two, ... ``order`` - 1 words before each place from ``order`` - 1 on; one word is its own key."""
-    n, out = len(hashes) - order + 1, []
-    for k in range(1, order):
-        key = hashes[order - 1 - k : order - 1 - k + n].view(np.uint64)
-        for i in range(order - k, order - 1):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-            key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[i : i + n].view(np.uint64)
-        out.append((key ^ (key >> np.uint64(29))).view(np.int64) if k > 1 else key.view(np.int64))
-    return out
+#: Words of the documents of a block; whole documents go into it, so that the last one may exceed it.
+BLOCK = 1 << 20
+#: Distinct n-grams, summed over blocks, that a bucket holds on average.
+BUCKET = 1 << 20
 
+REQUEST = "kind int, bucket long, block long, n int, keys binary, counts binary"
+ANSWER = "block long, kind int, bucket long, n int, counts binary"
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int = ORDER) -> Iterator[tuple[list, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """(ids, place of the id, contexts, word): hashed words of some documents at a time, with the keys of what stands before.
 
-    A text longer than a block is cut; the words before the cut go with the next part.
-    """
-    hashes = WordHashes()
-    ids, counts, befores, seconds, held = [], [], [], [], 0
-
-    def block():
-        befores_of = [np.concatenate(x) for x in zip(*befores)]
-        return ids, np.repeat(np.arange(len(ids)), counts), befores_of, np.concatenate(seconds)
-
-    for batch in batches:
-        for own, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            words = words_of(data or b"")
-            last = np.full(order - 1, START, dtype=np.int64)
-            for i in range(0, len(words), size):
-                second = hashes.of(words[i : i + size])
-                joined = np.concatenate([last, second])
-                ids.append(own)
-                counts.append(len(second))
-                befores.append(contexts_of(joined, order))
-                seconds.append(second)
-                last = joined[len(joined) - order + 1 :]
-                held += len(second)
-                if held >= size:
-                    yield block()
-                    ids, counts, befores, seconds, held = [], [], [], [], 0
-    if ids:
-        yield block()
-
-
-def word_counts(docs: DataFrame, *, id_col: str, text_col: str, block: int) -> DataFrame:
-    """(word, n, n_first): how often each hashed word stands, and how often before another word."""
-    out = "word long, n long, n_first long"
-    texts = docs.select(F.col(id_col), F.col(text_col))
-    arrow = arrow_schema(texts, out)
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Unsigned numbers by planes of bytes, so that those that are mostly zero take no room."""
+    flat = np.concatenate(arrays).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8).T).tobytes())
 
-    def run(batches):
-        for _, _, (first,), second in blocks(batches, block):
-            words, place = np.unique(np.concatenate([first, second]), return_inverse=True)
-            n = np.bincount(place[len(first) :], minlength=len(words))
-            n_first = np.bincount(place[: len(first)], minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n), pa.array(n_first)], schema=arrow)
 
-    return texts.mapInArrow(run, out).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
+def unpack(data: bytes, n: int) -> list[np.ndarray]:
+    """The arrays of ``pack``, of ``n`` numbers each."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    flat = np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+    return [flat[i : i + n] for i in range(0, len(flat), n)] if n else []
 
 
-def gram_counts(docs: DataFrame, order: int, *, id_col: str, text_col: str, block: int) -> DataFrame:
-    """(context, second, n): how often each n-gram of ``order`` words stands."""
-    out = "context long, second long, n long"
-    texts = docs.select(F.col(id_col), F.col(text_col))
-    arrow = arrow_schema(texts, out)
+def bucket_of(lanes: list[np.ndarray], buckets: int) -> np.ndarray:
+    mixed = np.zeros(len(lanes[0]), dtype=np.uint64)
+    for lane in lanes:
+        mixed = (mixed ^ lane) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(buckets)).astype(np.int64)
 
-    def run(batches):
-        for _, _, contexts, second in blocks(batches, block, order):
-            by = np.lexsort((second, contexts[-1]))
-            context, second = contexts[-1][by], second[by]
-            cuts = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (second[1:] != second[:-1])])
-            yield pa.RecordBatch.from_arrays([pa.array(context[cuts]), pa.array(second[cuts]), pa.array(np.diff(np.r_[cuts, len(second)]))], schema=arrow)
 
-    return texts.mapInArrow(run, out).groupBy("context", "second").agg(F.sum("n").alias("n"))
+def by_bucket(lanes: list[np.ndarray], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) of keys, in the order in which they stand."""
+    own = bucket_of(lanes, buckets)
+    order = np.argsort(own, kind="stable")
+    found, begins = np.unique(own[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, begins[1:]))
 
 
-def hot_contexts(docs: DataFrame, words: list[int], most: float, order: int, *, id_col: str, text_col: str, block: int) -> DataFrame:
-    """(first, hot): contexts of ``order`` - 1 words counted more than ``most`` times; each of their words is among ``words``."""
-    out = "first long, n long"
-    texts = docs.select(F.col(id_col), F.col(text_col))
-    arrow, hot = arrow_schema(texts, out), np.array(words, dtype=np.int64)
+def requests(kind: int, block: int, lanes: list[np.ndarray], counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+    """Rows of ``REQUEST`` for sorted keys in lanes; the first lane travels as differences."""
+    if len(lanes[0]):
+        for bucket, at in by_bucket(lanes, buckets):
+            first = lanes[0][at]
+            keys = pack([np.diff(first, prepend=first.dtype.type(0)), *(lane[at] for lane in lanes[1:])])
+            yield kind, bucket, block, len(at), keys, pack([c[at] for c in counts])
 
-    def run(batches):
-        for _, place, contexts, second in blocks(batches, block, order):
-            own, n = np.isin(contexts[0], hot), len(second)
-            whole = own.copy()
-            for k in range(1, order - 1):  # in the same part of a text; before a part's first words any may stand
-                before = np.r_[np.ones(k, bool), own[: n - k]][:n]
-                same = np.r_[np.zeros(k, bool), place[k:] == place[: n - k]][:n]
-                whole &= before | ~same
-            values, counts = np.unique(contexts[-1][whole], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], schema=arrow)
 
-    return texts.mapInArrow(run, out).groupBy("first").agg(F.sum("n").alias("hot")).where(F.col("hot") > most)
+def batches_of(rows: Iterator[tuple], arrow: pa.Schema, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of packed columns in batches of about ``most`` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes)) + 64
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), arrow)], schema=arrow)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), arrow)], schema=arrow)
 
 
-def gram_rows(docs: DataFrame, order: int, *, id_col: str, text_col: str, block: int, lower: bool = True) -> DataFrame:
-    """(first, second, lower, ids): the n-grams of a block of documents, each with the ids of its places.
+def block_table(docs: DataFrame, *, id_col: str, text_col: str, block: int) -> DataFrame:
+    """One row a block: the ids and sizes of its documents, their words as places in ``words``.
 
-    ``first`` is the key of the words before the last one; ``lower`` has those of the
-    shorter contexts, longest first, unless it isn't asked for.
+    ``words`` has the 128-bit digests of the block's distinct words in order, with their
+    counts and how many texts end with each; place 0 stands for the start of a text. Two
+    words with one digest would count as one; among 10 ** 10 words the odds are below 10 ** -18.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    lower = lower and order > 2
-    out = f"first long, second long, {'lower array<long>, ' if lower else ''}ids array<{id_type}>"
+    out = f"block long, ids array<{id_type}>, sizes binary, tokens binary, n_words int, n_docs long, n_tokens long, words binary, counts binary"
     texts = docs.select(F.col(id_col), F.col(text_col))
     arrow = arrow_schema(texts, out)
-    type_of = arrow.field("ids").type
-
-    def run(batches):
-        for ids, place, contexts, second in blocks(batches, block, order):
-            by = np.lexsort((second, contexts[-1]))
-            first, second = contexts[-1][by], second[by]
-            cuts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-            values = pa.array(ids, type_of.value_type).take(pa.array(place[by]))
-            shorter = np.stack([c[by] for c in contexts[-2::-1]], axis=1) if lower else None
-            for i in range(0, len(cuts), 50_000):
-                own = cuts[i : i + 50_000]
-                end = cuts[i + 50_000] if i + 50_000 < len(cuts) else len(first)
-                offsets = pa.array(np.r_[own, end] - own[0], pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, values.slice(own[0], end - own[0]))
-                rows = [pa.array(first[own]), pa.array(second[own])]
-                if lower:
-                    each = pa.array(np.arange(len(own) + 1) * (order - 2), pa.int32())
-                    rows.append(pa.ListArray.from_arrays(each, pa.array(shorter[own].ravel())).cast(arrow.field("lower").type))
-                yield pa.RecordBatch.from_arrays([*rows, lists.cast(type_of)], schema=arrow)
-
-    return texts.mapInArrow(run, out)
-
-
-def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, factor: float = FACTOR, block: int = BLOCK) -> DataFrame:
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        number, ids, sizes, places, local = TaskContext.get().partitionId() << 32, [], [], [], {}
+
+        def row():
+            counts = np.array(sizes, dtype=np.int64)
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, local)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            order = np.lexsort((digests[:, 1], digests[:, 0]))
+            rank = np.zeros(len(order) + 1, dtype=np.int64)
+            rank[order + 1] = np.arange(1, len(order) + 1)
+            tokens = rank[np.concatenate([np.empty(0, np.int64), *places])]
+            ends = tokens[np.cumsum(counts)[counts > 0] - 1]
+            both = [np.bincount(x, minlength=len(rank))[1:] for x in (tokens, ends)]
+            return (
+                number, list(ids), pack([counts]), pack([tokens]) if len(tokens) else b"", len(order), int((counts > 0).sum()), len(tokens),
+                digests[order].tobytes(), pack(both) if len(order) else b"",
+            )
+
+        held = 0
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                words = (data or b"").lower().split()
+                ids.append(own)
+                sizes.append(len(words))
+                places.append(np.array([local.setdefault(w, len(local) + 1) for w in words], dtype=np.int64))
+                held += len(words)
+                if held >= block or len(ids) >= block:
+                    yield row()
+                    number, held, ids, sizes, places, local = number + 1, 0, [], [], [], {}
+        if ids:
+            yield row()
+
+    return texts.mapInArrow(lambda batches: batches_of(rows(batches), arrow), out)
+
+
+def word_requests(blocks: DataFrame, buckets: int) -> DataFrame:
+    arrow = arrow_schema(blocks, REQUEST)
+
+    def rows(batches):
+        for batch in batches:
+            for block, n, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if n:
+                    lanes = np.frombuffer(words, dtype=np.uint64).reshape(-1, 2)
+                    yield from requests(1, block, [lanes[:, 0].copy(), lanes[:, 1].copy()], unpack(counts, n), buckets)
+
+    return blocks.select("block", "n_words", "words", "counts").mapInArrow(lambda batches: batches_of(rows(batches), arrow), REQUEST)
+
+
+def answers(asked: DataFrame, buckets: dict[int, int]) -> DataFrame:
+    """The counts over all blocks, for each request in its order; words also get their numbers, from 1.
+
+    A bucket is the only place of its n-grams, and each block asks once for each, so that a
+    frequent n-gram costs a row of its bucket for each block and no more.
+    """
+    dealt = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    arrow = arrow_schema(asked, ANSWER)
+
+    def answer(kind: int, bucket: int, held: list[tuple]) -> Iterator[tuple]:
+        parts = [unpack(keys, n) for _, n, keys, _ in held]
+        lanes = [np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), *(np.concatenate(x) for x in zip(*(p[1:] for p in parts)))]
+        order = np.lexsort(lanes[::-1])
+        new = np.zeros(len(order), dtype=bool)
+        new[0] = True
+        for lane in lanes:
+            new[1:] |= np.diff(lane[order]) != 0
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        own = [unpack(counts, n) for _, n, _, counts in held]
+        sums = []
+        for which in range(2):
+            total = np.zeros(int(new.sum()), dtype=np.int64)
+            np.add.at(total, place, np.concatenate([o[which] for o in own]).astype(np.int64))
+            sums.append(total)
+        if kind == 1:
+            sums.append(1 + bucket + buckets[kind] * np.arange(len(sums[0])))
+        at = 0
+        for block, n, _, _ in held:
+            yield block, kind, bucket, n, pack([s[place[at : at + n]] for s in sums])
+            at += n
+
+    def rows(batches):
+        held, last = [], None
+        for batch in batches:
+            for kind, bucket, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and last != (kind, bucket):
+                    yield from answer(*last, held)
+                    held = []
+                held.append(rest)
+                last = kind, bucket
+        if held:
+            yield from answer(*last, held)
+
+    return dealt.mapInArrow(lambda batches: batches_of(rows(batches), arrow), ANSWER)
+
+
+def gather(table: pa.Table, kind: int, lanes: list[np.ndarray], buckets: int, columns: int) -> list[np.ndarray]:
+    """The answers of one kind, in the order of the keys that were asked for."""
+    out = [np.zeros(len(lanes[0]), dtype=np.int64) for _ in range(columns)]
+    rows = {b: (n, c) for k, b, n, c in zip(*(table.column(x).to_pylist() for x in ("kind", "bucket", "n", "counts"))) if k == kind}
+    if len(lanes[0]):
+        for bucket, at in by_bucket(lanes, buckets):
+            n, counts = rows[bucket]
+            for column, values in zip(out, unpack(counts, n)):
+                column[at] = values
+    return out
+
+
+def numbered_blocks(blocks: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
+    """``blocks`` with the number of each word in place of its digest, and the counts over all blocks."""
+    ids_type = blocks.schema["ids"].dataType.simpleString()
+    out = f"block long, ids {ids_type}, sizes binary, tokens binary, n_words int, last_number long, words binary, counts binary"
+    arrow = arrow_schema(blocks, out)
+
+    def join(own: pa.Table, found: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return arrow.empty_table()
+        row = own.to_pylist()[0]
+        digests = np.frombuffer(row["words"], dtype=np.uint64).reshape(-1, 2)
+        n, ends, numbers = gather(found, 1, [digests[:, 0].copy(), digests[:, 1].copy()], buckets, 3)
+        # Places follow the numbers from here on, so that n-grams sort by places as by numbers.
+        order = np.argsort(numbers)
+        rank = np.zeros(len(order) + 1, dtype=np.int64)
+        rank[order + 1] = np.arange(1, len(order) + 1)
+        some = len(order) > 0
+        tokens = pack([rank[unpack(row["tokens"], row["n_tokens"])[0].astype(np.int64)]]) if some else b""
+        packed = pack([np.diff(numbers[order], prepend=0)]) if some else b""
+        columns = [row["block"], row["ids"], row["sizes"], tokens, len(order), int(numbers.max(initial=0)), packed, pack([n[order], ends[order]]) if some else b""]
+        return pa.Table.from_arrays([pa.array([c], k.type) for c, k in zip(columns, arrow)], schema=arrow)
+
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join, out)
+
+
+class Grams:
+    """The n-grams of a block, order by order."""
+
+    def __init__(self, sizes: bytes, n_docs: int, tokens: bytes, words: bytes, n_words: int):
+        self.sizes = unpack(sizes, n_docs)[0].astype(np.int64)
+        n = int(self.sizes.sum())
+        self.tokens = unpack(tokens, n)[0].astype(np.int64) if n else np.empty(0, np.int64)
+        numbers = np.cumsum(unpack(words, n_words)[0].astype(np.int64)) if n_words else np.empty(0, np.int64)
+        self.numbers = np.r_[0, numbers]
+        self.doc = np.repeat(np.arange(n_docs), self.sizes)
+        self.begin = (np.cumsum(self.sizes) - self.sizes)[self.doc]
+        self.within = np.arange(n) - self.begin
+        self.last = (np.cumsum(self.sizes) - 1)[self.doc]
+
+    def longer(self, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each position's n-gram among the distinct ones in order, a position of each), from those of one word less."""
+        key = self.tokens
+        if place is not None:
+            before = np.r_[0, place[:-1] + 1][: len(place)]
+            key = np.where(self.within > 0, before, 0) * len(self.numbers) + key
+        _, at, own = np.unique(key, return_index=True, return_inverse=True)
+        return own, at
+
+    def lanes(self, at: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+        """The n-grams at some positions as numbers, as many as fit side by side in 64 bits."""
+        each = [np.where(self.within[at] >= t, self.numbers[self.tokens[np.maximum(at - t, 0)]], 0).astype(np.uint64) for t in range(order - 1, -1, -1)]
+        side, out = max(1, 64 // bits), []
+        for i in range(0, order, side):
+            lane = each[i]
+            for more in each[i + 1 : i + side]:
+                lane = (lane << np.uint64(bits)) | more
+            out.append(lane)
+        return out
+
+    def in_document(self, own: np.ndarray) -> np.ndarray:
+        """How often the n-gram at each position stands in its document."""
+        _, place, n = np.unique(self.doc * (int(own.max(initial=0)) + 1) + own, return_inverse=True, return_counts=True)
+        return n[place]
+
+
+def gram_requests(numbered: DataFrame, order: int, bits: int, buckets: dict[int, int]) -> DataFrame:
+    arrow = arrow_schema(numbered, REQUEST)
+
+    def rows(batches):
+        for batch in batches:
+            for block, n_docs, sizes, tokens, n_words, words in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = Grams(sizes, n_docs, tokens, words, n_words)
+                ends = np.unique(grams.last)
+                own, _ = grams.longer(None)
+                for k in range(2, order + 1):
+                    own, at = grams.longer(own)
+                    counts = [np.bincount(own, minlength=len(at)), np.bincount(own[ends], minlength=len(at))]
+                    yield from requests(k, block, grams.lanes(at, k, bits), counts, buckets[k])
+
+    columns = numbered.select("block", F.size("ids").alias("n_docs"), "sizes", "tokens", "n_words", "words")
+    return columns.mapInArrow(lambda batches: batches_of(rows(batches), arrow), REQUEST)
+
+
+def score_blocks(numbered: DataFrame, answered: DataFrame, order: int, bits: int, buckets: dict[int, int], factor: float, n_tokens: int, n_docs: int, out: str) -> DataFrame:
+    arrow = arrow_schema(numbered, out)
+
+    def scores(grams: Grams, row: dict, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Each position's logarithm, and whether it backed off."""
+        outside = np.maximum(n_tokens - grams.sizes[grams.doc], 1)
+        s = np.log(factor**order / outside)  # for words of no other document
+        backed = np.ones(len(s), dtype=bool)
+        context, place = None, None
+        for k in range(1, order + 1):
+            place, at = grams.longer(place)
+            if k == 1:
+                n, ends = (x.astype(np.int64)[grams.tokens[at] - 1] for x in unpack(row["counts"], row["n_words"]))
+                context = outside
+            else:
+                n, ends = gather(found, k, grams.lanes(at, k, bits), buckets[k], 2)
+            here = grams.in_document(place)
+            others = n[place] - here
+            seen = others > 0
+            s = np.where(seen, np.log(np.where(seen, others, 1) * factor ** (order - k) / np.where(seen, context, 1)), s)
+            backed = ~seen
+            # The next order's contexts: these n-grams one place before, where a word follows, in other documents.
+            followed = (n - ends)[place] - (here - (place == place[grams.last]))
+            context = np.where(grams.within > 0, np.r_[0, followed[:-1]], n_docs - 1)
+        return s, backed
+
+    def join(own: pa.Table, found: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return arrow.empty_table()
+        row = own.to_pylist()[0]
+        grams = Grams(row["sizes"], len(row["ids"]), row["tokens"], row["words"], row["n_words"])
+        backed, total = (np.zeros(len(row["ids"])) for _ in range(2))
+        if len(grams.tokens):
+            s, b = scores(grams, row, found)
+            backed, total = (np.bincount(grams.doc, weights=x, minlength=len(row["ids"])) for x in (b, s))
+        columns = [pa.array(row["ids"], arrow.field(0).type), pa.array(grams.sizes), pa.array(backed.astype(np.int64)), pa.array(total)]
+        return pa.Table.from_arrays(columns, schema=arrow)
+
+    return numbered.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join, out)
+
+
+def backoff_scores(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, factor: float = FACTOR, block: int = BLOCK, bucket: int = BUCKET
+) -> DataFrame:
     """The id, n_tokens, n_backoff, log_score and mean_log_score of every document.
 
-    A word (lower-cased A-Z, between white space) scores count(n-gram) / count(context) if
-    the n-gram of the ``order`` - 1 words before it and itself was counted ``min_count``
-    times or more, else ``factor`` times the score with one word less before it, and at
-    last ``factor`` * ... * count(word) / count of all words; a document's score is the sum
-    of the logarithms, and n_backoff the number of words that backed off at all. A context
-    that begins before the text counts as one with the text's start. Counts are those of
-    all documents; the scored texts are among them, so with ``min_count`` 1 no word backs
-    off. n-grams are gathered by block of documents before they are dealt out by a hash of
-    the context, so that one comes at most once a block; frequent contexts are dealt out by
-    the last word too. Texts without words (null, empty): counts 0, log_score 0, mean null.
-    Rows with equal ids, null ones too, are one document. An empty table gives an empty
-    result; other columns are not read.
+    Counts are those of all other documents, for a text's own would let it score itself. A
+    word (lower-cased A-Z, between white space) scores count(n-gram) / count(context) if
+    another document holds the n-gram of the ``order`` - 1 words before it and itself, else
+    ``factor`` times the score with one word less before it, and so on to ``factor`` ** (order
+    - 1) * count(word) / count of all words, and for a word of no other document ``factor``
+    ** order / count of all words (1 if there are none). A context that begins before the
+    text counts as one with the text's start. A document's score is the sum of the
+    logarithms, and n_backoff the number of words that backed off at all. No n-gram is
+    pruned. Texts without words (null, empty): counts 0, log_score 0, mean null. Each row is
+    a document, repeated rows and null ids too, so that copies support each other. An empty
+    table gives an empty result; columns other than the id and the text are not read. A very
+    long text makes a block of its own size.
     """
-    if order < 2:
-        raise ValueError("order must be 2 or more")
-    columns = {"id_col": id_col, "text_col": text_col, "block": block}
-    singles = materialize(word_counts(docs, **columns), "words")
-    total = singles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    most = max(1, HOT_SHARE * total)
-    hot = singles.where(F.col("n_first") > most).select(F.col("word").alias("first"), F.col("n_first").alias("hot"))
-    if order > 2:
-        hot = hot_contexts(docs, [START, *(r["first"] for r in hot.collect())], most, order, **columns)
-    grams = gram_rows(docs, order, **columns, lower=min_count > 1).join(F.broadcast(hot), "first", "left")
-    grams = grams.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod("second", F.lit(SALT))).cast("int")).repartition("first", "salt")
-    n = F.size("ids")
-    counted = grams.withColumn("n_gram", F.sum(n).over(Window.partitionBy("first", "salt", "second"))).withColumn(
-        "n_first", F.coalesce("hot", F.sum(n).over(Window.partitionBy("first", "salt")))
-    )
-    own = F.explode("ids").alias("id")
-    scored = counted.where(F.col("n_gram") >= min_count).select(F.log(F.col("n_gram") / F.col("n_first")).alias("s"), own).select("id", "s", F.lit(0).alias("b"))
-    if min_count > 1:
-        # Both kinds need the same columns, so that one exchange serves them.
-        rare = counted.where((F.col("n_gram") < min_count) & (F.col("n_first") > 0))
-        rare = rare.select(F.col("second").alias("word"), *(["lower"] if order > 2 else []), own)
-        for k in range(order - 1, 1, -1):
-            counts = materialize(gram_counts(docs, k, **columns), "counts")
-            of_context = counts.groupBy("context").agg(F.sum("n").alias("n_context"))
-            shorter = counts.where(F.col("n") >= min_count).join(of_context, "context").select("context", F.col("second").alias("word"), F.log(F.col("n") / F.col("n_context")).alias("s"))
-            rare = rare.withColumn("context", F.col("lower")[order - 1 - k]).join(shorter, ["context", "word"], "left")
-            rare = materialize(rare.select("id", "word", "lower", "s"), "rare")
-            found = rare.where("s IS NOT NULL").select("id", (F.col("s") + (order - k) * math.log(factor)).alias("s"), F.lit(1).alias("b"))
-            scored, rare = scored.unionByName(found), rare.where("s IS NULL").drop("s")
-        single = F.log(F.lit(factor ** (order - 1)) * F.col("n") / F.lit(float(max(total, 1))))
-        scored = scored.unionByName(rare.join(singles.select("word", "n"), "word").select("id", single.alias("s"), F.lit(1).alias("b")))
-    sums = scored.groupBy("id").agg(F.count("*").alias("n_tokens"), F.sum("b").alias("n_backoff"), F.sum("s").alias("log_score"))
-    ids = docs.select(F.col(id_col)).distinct()
-    return ids.join(sums, F.col(id_col).eqNullSafe(F.col("id")), "left").select(
-        id_col,
-        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-        F.coalesce("n_backoff", F.lit(0)).alias("n_backoff"),
-        F.coalesce("log_score", F.lit(0.0)).alias("log_score"),
-        (F.col("log_score") / F.col("n_tokens")).alias("mean_log_score"),
-    )
+    if order < 1:
+        raise ValueError("order must be 1 or more")
+    blocks = materialize(block_table(docs, id_col=id_col, text_col=text_col, block=block), "blocks")
+    n_keys, n_docs, n_tokens = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_docs"), F.sum("n_tokens")).first())
+    least = docs.sparkSession.sparkContext.defaultParallelism
+    buckets = {k: max(least, 1 + (n_keys if k == 1 else n_tokens) // bucket) for k in range(1, order + 1)}
+    numbered = materialize(numbered_blocks(blocks, answers(word_requests(blocks, buckets[1]), buckets), buckets[1]), "numbered")
+    bits = max(1, (numbered.agg(F.max("last_number")).first()[0] or 0).bit_length())
+    id_type = docs.schema[id_col].dataType.simpleString()
+    out = f"id {id_type}, n_tokens long, n_backoff long, log_score double"
+    answered = answers(gram_requests(numbered, order, bits, buckets), buckets)
+    scored = score_blocks(numbered, answered, order, bits, buckets, factor, n_tokens, n_docs, out)
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_backoff", "log_score", F.expr("CASE WHEN n_tokens > 0 THEN log_score / n_tokens END").alias("mean_log_score"))
 
 
-def sql(min_count: int = MIN_COUNT, factor: float = FACTOR) -> str:
-    """The same for DuckDB, with scores rounded as the query has them."""
+def sql(factor: float = FACTOR) -> str:
+    """The same for DuckDB, at order 3, with scores rounded as the query has them."""
+    counts = ", ".join(
+        f"count(*) OVER (PARTITION BY {keys}) - count(*) OVER (PARTITION BY r, {keys}) AS {name}"
+        for name, keys in (("n3", "a, b, c"), ("x3", "a, b"), ("n2", "b, c"), ("x2", "b"), ("n1", "c"))
+    )
     return rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, CASE WHEN i > 1 THEN w[i - 1] END AS a, w[i] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-p AS (SELECT a, b, count(*) AS n_pair FROM t GROUP BY a, b),
-f AS (SELECT a, count(*) AS n_first FROM t GROUP BY a),
-u AS (SELECT b, count(*) AS n FROM t GROUP BY b),
-s AS (SELECT t.doc_id, n_pair < {min_count} AS back, CASE WHEN n_pair >= {min_count} THEN ln(n_pair / n_first) ELSE ln({factor} * n / (SELECT count(*) FROM t)::DOUBLE) END AS s
-  FROM t JOIN p ON t.a IS NOT DISTINCT FROM p.a AND t.b = p.b JOIN f ON t.a IS NOT DISTINCT FROM f.a JOIN u ON t.b = u.b),
-g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (back) AS n_backoff, sum(s) AS log_score FROM s GROUP BY doc_id)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, CASE WHEN i > 2 THEN w[i - 2] END AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, w[i] AS c FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n AS (SELECT r, {counts}, count(*) OVER () - count(*) OVER (PARTITION BY r) AS x1 FROM t),
+s AS (SELECT r, n3 = 0 AS back, CASE WHEN n3 > 0 THEN ln(n3 / x3) WHEN n2 > 0 THEN ln({factor} * n2 / x2) WHEN n1 > 0 THEN ln({factor**2} * n1 / x1)
+  ELSE ln({factor**3} / greatest(x1, 1)) END AS s FROM n),
+g AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (back) AS n_backoff, sum(s) AS log_score FROM s GROUP BY r)
 SELECT doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_backoff, 0)::BIGINT AS n_backoff,
   round(coalesce(log_score, 0), 4)::DOUBLE AS log_score, round(log_score / n_tokens, 6)::DOUBLE AS mean_log_score
-FROM (SELECT DISTINCT doc_id FROM d) LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN g USING (r)
 """

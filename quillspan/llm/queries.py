@@ -48,12 +48,6 @@ def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
-def op7_backoff_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every triple counts; ``op7_backoff_scores`` has the order and the pruning of its SQL."""
-    scored = backoff.backoff_scores(read_table(spark, sf_dir, "documents"), order=3, min_count=1)
-    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
-
-
 def op8_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks"
@@ -69,7 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(suffixdedup.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op3_toxicity, op4_decontamination, op4_proximity, op5_token_counts, op6_line_dedup, op7_backoff_scores, op7_backoff_order3, op8_quality_bands, op9_bpe_lexicon, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_pivots, op3_toxicity, op4_decontamination, op4_proximity, op5_token_counts, op6_line_dedup, op7_backoff_scores, op8_quality_bands, op9_bpe_lexicon, op10_suffix_dedup)}
 ORACLE_SQL = {
     "op1_license_scan": license.sql(),
     "op4_decontamination": decontaminate.SQL,

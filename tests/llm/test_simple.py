@@ -121,51 +121,33 @@ def test_bpe_equals_library(spark, docs, rows, none, share):
     assert bpe.encode_decode(none, WORD_BPE).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 1_000_000])
-def test_backoff(docs, rows, none, block):
+@pytest.mark.parametrize("order, block, bucket", [(3, 1 << 20, 1 << 20), (4, 9000, 5000)])
+def test_backoff(docs, rows, none, order, block, bucket):
+    """Every document against the counts of all others, at several orders and sizes of blocks and buckets."""
     texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
-    pairs = Counter(p for _, w in texts for p in zip([None, *w], w))
-    first = Counter()
-    for (a, _), n in pairs.items():
-        first[a] += n
-    single = Counter(x for _, w in texts for x in w)
-    total = sum(single.values())
-    want = {}
-    for i, w in texts:
-        n, b, s = want.get(i, (0, 0, 0.0))
-        for p in zip([None, *w], w):
-            seen = pairs[p] >= 2
-            n, b, s = n + 1, b + (not seen), s + math.log(pairs[p] / first[p[0]] if seen else 0.4 * single[p[1]] / total)
-        want[i] = (n, b, s)
-    got = {r.doc_id: (r.n_tokens, r.n_backoff, r.log_score) for r in backoff.backoff_scores(docs, block=block).collect()}
-    assert got.keys() == want.keys()
-    for i, (n, b, s) in want.items():
-        assert got[i][:2] == (n, b) and math.isclose(got[i][2], s, rel_tol=1e-9, abs_tol=1e-9)
-    assert backoff.backoff_scores(none).count() == 0
-
-
-@pytest.mark.parametrize("order, least, block, share", [(3, 1, 7, 1e-3), (3, 2, 1_000_000, 0.0), (4, 2, 5, 0.01)])
-def test_backoff_of_higher_orders(docs, rows, monkeypatch, order, least, block, share):
-    monkeypatch.setattr(backoff, "HOT_SHARE", share)
-    texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
-    grams, contexts = Counter(), Counter()
     at = lambda w, p, k: tuple(([None] * order + w)[p + order - k + 1 : p + order + 1])
-    for _, w in texts:
-        for p in range(len(w)):
-            for k in range(1, order + 1):
-                grams[at(w, p, k)] += 1
-                contexts[k, at(w, p, k)[:-1]] += 1
-    want = {}
-    for i, w in texts:
-        n, b, s = want.get(i, (0, 0, 0.0))
+    own = [Counter((k, *at(w, p, k)) for p in range(len(w)) for k in range(1, order + 1)) for _, w in texts]
+    before = [Counter((k, *at(w, p, k)[:-1]) for p in range(len(w)) for k in range(1, order + 1)) for _, w in texts]
+    grams, contexts = sum(own, Counter()), sum(before, Counter())
+    want = []
+    for (i, w), mine, met in zip(texts, own, before):
+        back, s = 0, 0.0
         for p in range(len(w)):
             k = order
-            while k > 1 and grams[at(w, p, k)] < least:
+            while k and grams[k, *at(w, p, k)] == mine[k, *at(w, p, k)]:
                 k -= 1
-            n, b = n + 1, b + (k < order)
-            s += (order - k) * math.log(0.4) + math.log(grams[at(w, p, k)] / contexts[k, at(w, p, k)[:-1]])
-        want[i] = (n, b, s)
-    got = {r.doc_id: (r.n_tokens, r.n_backoff, r.log_score) for r in backoff.backoff_scores(docs, order=order, min_count=least, block=block).collect()}
-    assert got.keys() == want.keys()
-    for i, (n, b, s) in want.items():
-        assert got[i][:2] == (n, b) and math.isclose(got[i][2], s, rel_tol=1e-9, abs_tol=1e-9)
+            back += k < order
+            key = (k, *at(w, p, k)[:-1])
+            share = (grams[k, *at(w, p, k)] - mine[k, *at(w, p, k)]) / (contexts[key] - met[key]) if k else 1 / (sum(len(x) for _, x in texts) - len(w))
+            s += (order - k) * math.log(0.4) + math.log(share)
+        want.append((-1 if i is None else i, len(w), back, round(s, 6) + 0.0))
+    got = backoff.backoff_scores(docs, order=order, block=block, bucket=bucket).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_backoff, round(r.log_score, 6) + 0.0) for r in got) == sorted(want)
+    assert all((r.mean_log_score is None) == (r.n_tokens == 0) for r in got)
+    if order == 3:
+        assert backoff.backoff_scores(none).count() == 0
+
+
+def test_backoff_of_a_single_text(spark):
+    got = backoff.backoff_scores(spark.createDataFrame([(1, "Some words, some"), (None, None)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_backoff, round(r.log_score, 9)) for r in got} == {(1, 3, 3, round(9 * math.log(0.4), 9)), (None, 0, 0, 0.0)}
