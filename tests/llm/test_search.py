@@ -1,6 +1,7 @@
 """License scans and decontamination against plain code."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -43,6 +44,56 @@ def test_license_base(spark, docs, rows, none):
     assert L.scan(none).count() == 0
 
 
+def notice_matches(text):
+    """Labels by trying every start, shift and split of every notice, and the best at each word."""
+    w, found = words(text), {}
+    for number, label, base, grams, needed in L.templates():
+        if base:
+            continue
+        t = [g.split()[0] for g in grams] + [grams[-1].split()[1]]
+        for a in range(-len(t), len(w)):
+            for b in range(a - L.GAP, a + L.GAP + 1):
+                has = [{i for i in range(len(grams)) if d + i >= 0 and w[d + i : d + i + 2] == t[i : i + 2]} for d in (a, b)]
+                if len(has[0]) + len(has[1]) < L.SHARE * len(grams) - 1e-9 or not has[0] or not has[1]:
+                    continue
+                ways = []
+                for c in range(len(t)):
+                    one, two = [i for i in has[0] if i < c], [i for i in has[1] if i >= c]
+                    at = sorted([a + i for i in one]), sorted([b + i for i in two])
+                    if len(one) + len(two) >= L.SHARE * len(grams) - 1e-9 and {*needed} <= {*one, *two} and not (at[0] and at[1] and at[0][-1] >= at[1][0]):
+                        ways.append((-len(one) - len(two), min(at[0] + at[1]), max(at[0] + at[1]) + 1))
+                if ways:
+                    n, lo, hi = min(ways)
+                    found[label, lo, hi, (-n / len(grams), len(grams))] = 1
+    at = {}
+    for label, lo, hi, rank in found:
+        for p in range(lo, hi + 1):
+            at.setdefault(p, []).append((rank, label))
+    top = {p: max(r for r, _ in x) for p, x in at.items()}
+    return {label for label, lo, hi, rank in found if all(rank == top[p] or (top[p], label) in at[p] for p in range(lo, hi + 1))}
+
+
+def test_license_notices(spark):
+    """Every notice alone, changed and beside others, against brute force; none is taken for another."""
+    rng = random.Random(11)
+    texts = [("Licensed under CC BY-NC 4.0", {"cc-by-nc"}), ("Licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa"}), ("licensed under cc by zz 4.0", set()), ("Licensed under CC BY 4.0.", {"cc-by"})]
+    texts.append(("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", {"lgpl"}))
+    texts += [(text, {label}) for text, label in L.NOTICES]
+    cut = [text.split() for text, _ in L.NOTICES]
+    changed = []
+    for w in cut * 3:
+        w, p = list(w), rng.randrange(len(w))
+        w[p : p + rng.randrange(3)] = rng.choices(["zz", "nc", "sa", "gnu", "lesser", "the"], k=rng.randrange(3))
+        changed.append(" ".join(rng.choice(cut)[-4:] + w + rng.choice(cut)[:5]))
+    every = [t for t, _ in texts] + changed + [" ".join(rng.choice(["the", "license", "under", "cc", "by", "4", "0", "nc"]) for _ in range(400))]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
+    own = lambda r: set(r.labels.split(",")) - {""}
+    for i, text in enumerate(every):
+        assert own(got[i]) == notice_matches(text) | (set(got[i].base_labels.split(",")) - {""}), text
+    for i, (text, want) in enumerate(texts):
+        assert own(got[i]) - set(got[i].base_labels.split(",")) <= want <= own(got[i]), text
+
+
 def brute(rows, items, size=13):
     wins = {}
     for k, t in items:
