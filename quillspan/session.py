@@ -41,6 +41,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """``materialize`` into ``buckets`` buckets by ``column``: joins on it with tables that have as many need no exchange.
+
+    Each task writes a file for each bucket that it has rows of. A table that isn't dealt
+    out by ``repartition(buckets, column)`` before should have few values of it in a task.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = "quillspan_" + path.rsplit("-", 1)[1]
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` wrote; for use between jobs."""
     jvm = spark.sparkContext._jvm
