@@ -3,8 +3,9 @@
 Documents are gathered in blocks. A block sends each distinct n-gram of its documents once,
 with its count there, to the bucket that the n-gram's hash names; buckets add up the counts
 of all blocks and send them back; the block joins them to its exploded n-grams and sums by
-document. Distinct words are counted first and get numbers, so that longer n-grams travel
-as sorted numbers, of which the differences are packed.
+document. Words come first and get numbers, so that longer n-grams travel as sorted numbers,
+of which the differences are packed. An n-gram that holds a shorter one of which all copies
+are in the block is known there already, and isn't sent.
 """
 
 from __future__ import annotations
@@ -21,18 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.text import arrow_schema
-from quillspan.session import materialize
+from quillspan.session import bucketed
 
 #: The longest n-grams; those that no other document holds back off to one word less, at this factor.
 ORDER = 3
 FACTOR = 0.4
 #: Words of the documents of a block; whole documents go into it, so that the last one may exceed it.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Distinct n-grams, summed over blocks, that a bucket holds on average.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
+#: Bytes of text whose blocks one task joins to their answers.
+TASK = 64 << 20
 
 REQUEST = "kind int, bucket long, block long, n int, keys binary, counts binary"
-ANSWER = "block long, kind int, bucket long, n int, counts binary"
+ANSWER = "block long, bucket long, n int, last long, counts binary"
+BLOCKS = "block long, ids array<{0}>, sizes binary, tokens binary, n_words int, n_docs long, n_tokens long, words binary, counts binary"
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -73,7 +77,7 @@ def requests(kind: int, block: int, lanes: list[np.ndarray], counts: list[np.nda
             yield kind, bucket, block, len(at), keys, pack([c[at] for c in counts])
 
 
-def batches_of(rows: Iterator[tuple], arrow: pa.Schema, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterator[tuple], arrow: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Rows of packed columns in batches of about ``most`` bytes."""
     held, size = [], 0
     for row in rows:
@@ -86,42 +90,47 @@ def batches_of(rows: Iterator[tuple], arrow: pa.Schema, most: int = 32 << 20) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held), arrow)], schema=arrow)
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time, as blocks are large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def block_table(docs: DataFrame, *, id_col: str, text_col: str, block: int) -> DataFrame:
     """One row a block: the ids and sizes of its documents, their words as places in ``words``.
 
-    ``words`` has the 128-bit digests of the block's distinct words in order, with their
+    ``words`` has 96 bits of digest of the block's distinct words in order, with their
     counts and how many texts end with each; place 0 stands for the start of a text. Two
-    words with one digest would count as one; among 10 ** 10 words the odds are below 10 ** -18.
+    words with one digest would count as one: odds of 10 ** -9 among 10 ** 10 words.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    out = f"block long, ids array<{id_type}>, sizes binary, tokens binary, n_words int, n_docs long, n_tokens long, words binary, counts binary"
+    out = BLOCKS.format(docs.schema[id_col].dataType.simpleString())
     texts = docs.select(F.col(id_col), F.col(text_col))
     arrow = arrow_schema(texts, out)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        number, ids, sizes, places, local = TaskContext.get().partitionId() << 32, [], [], [], {}
+        number, held, ids, sizes, places, local = TaskContext.get().partitionId() << 32, 0, [], [], [], {}
 
         def row():
             counts = np.array(sizes, dtype=np.int64)
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, local)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            digests[:, 1] >>= np.uint64(32)
             order = np.lexsort((digests[:, 1], digests[:, 0]))
+            digests = digests[order]
             rank = np.zeros(len(order) + 1, dtype=np.int64)
             rank[order + 1] = np.arange(1, len(order) + 1)
             tokens = rank[np.concatenate([np.empty(0, np.int64), *places])]
             ends = tokens[np.cumsum(counts)[counts > 0] - 1]
             both = [np.bincount(x, minlength=len(rank))[1:] for x in (tokens, ends)]
-            return (
-                number, list(ids), pack([counts]), pack([tokens]) if len(tokens) else b"", len(order), int((counts > 0).sum()), len(tokens),
-                digests[order].tobytes(), pack(both) if len(order) else b"",
-            )
+            words = pack([np.diff(digests[:, 0], prepend=np.uint64(0)), digests[:, 1]])
+            return number, list(ids), pack([counts]), pack([tokens]), len(order), int((counts > 0).sum()), len(tokens), words, pack(both)
 
-        held = 0
         for batch in batches:
             for own, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 words = (data or b"").lower().split()
                 ids.append(own)
                 sizes.append(len(words))
-                places.append(np.array([local.setdefault(w, len(local) + 1) for w in words], dtype=np.int64))
+                places.append(np.array([local.setdefault(w, len(local) + 1) for w in words], dtype=np.int32))
                 held += len(words)
                 if held >= block or len(ids) >= block:
                     yield row()
@@ -132,31 +141,35 @@ def block_table(docs: DataFrame, *, id_col: str, text_col: str, block: int) -> D
     return texts.mapInArrow(lambda batches: batches_of(rows(batches), arrow), out)
 
 
+def digest_lanes(words: bytes, n: int) -> list[np.ndarray]:
+    lanes = unpack(words, n) or [np.empty(0, np.uint64)] * 2
+    return [np.cumsum(lanes[0], dtype=np.uint64), lanes[1]]
+
+
 def word_requests(blocks: DataFrame, buckets: int) -> DataFrame:
     arrow = arrow_schema(blocks, REQUEST)
 
     def rows(batches):
-        for batch in batches:
-            for block, n, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if n:
-                    lanes = np.frombuffer(words, dtype=np.uint64).reshape(-1, 2)
-                    yield from requests(1, block, [lanes[:, 0].copy(), lanes[:, 1].copy()], unpack(counts, n), buckets)
+        for row in rows_of(batches):
+            if n := row["n_words"]:
+                yield from requests(1, row["block"], digest_lanes(row["words"], n), unpack(row["counts"], n), buckets)
 
     return blocks.select("block", "n_words", "words", "counts").mapInArrow(lambda batches: batches_of(rows(batches), arrow), REQUEST)
 
 
-def answers(asked: DataFrame, buckets: dict[int, int]) -> DataFrame:
-    """The counts over all blocks, for each request in its order; words also get their numbers, from 1.
+def answers(asked: DataFrame, kind: int, buckets: int, tasks: int) -> DataFrame:
+    """(block, answers): the counts over all blocks, for each request in its order; words also get their numbers, from 1.
 
     A bucket is the only place of its n-grams, and each block asks once for each, so that a
     frequent n-gram costs a row of its bucket for each block and no more.
     """
-    dealt = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket")
     arrow = arrow_schema(asked, ANSWER)
 
-    def answer(kind: int, bucket: int, held: list[tuple]) -> Iterator[tuple]:
-        parts = [unpack(keys, n) for _, n, keys, _ in held]
+    def answer(bucket: int, held: list[dict]) -> Iterator[tuple]:
+        parts = [unpack(r["keys"], r["n"]) for r in held]
         lanes = [np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), *(np.concatenate(x) for x in zip(*(p[1:] for p in parts)))]
+        del parts
         order = np.lexsort(lanes[::-1])
         new = np.zeros(len(order), dtype=bool)
         new[0] = True
@@ -164,168 +177,152 @@ def answers(asked: DataFrame, buckets: dict[int, int]) -> DataFrame:
             new[1:] |= np.diff(lane[order]) != 0
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.cumsum(new) - 1
-        own = [unpack(counts, n) for _, n, _, counts in held]
+        del lanes, order
+        own = [unpack(r["counts"], r["n"]) for r in held]
         sums = []
         for which in range(2):
             total = np.zeros(int(new.sum()), dtype=np.int64)
             np.add.at(total, place, np.concatenate([o[which] for o in own]).astype(np.int64))
             sums.append(total)
+        last = 0
         if kind == 1:
-            sums.append(1 + bucket + buckets[kind] * np.arange(len(sums[0])))
+            sums.append(1 + bucket + buckets * np.arange(len(sums[0])))
+            last = int(sums[-1][-1])
         at = 0
-        for block, n, _, _ in held:
-            yield block, kind, bucket, n, pack([s[place[at : at + n]] for s in sums])
-            at += n
+        for r in held:
+            yield r["block"], bucket, r["n"], last, pack([s[place[at : at + r["n"]]] for s in sums])
+            at += r["n"]
 
     def rows(batches):
-        held, last = [], None
-        for batch in batches:
-            for kind, bucket, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if last is not None and last != (kind, bucket):
-                    yield from answer(*last, held)
-                    held = []
-                held.append(rest)
-                last = kind, bucket
+        held = []
+        for row in rows_of(batches):
+            if held and held[-1]["bucket"] != row["bucket"]:
+                yield from answer(held[0]["bucket"], held)
+                held = []
+            held.append(row)
         if held:
-            yield from answer(*last, held)
+            yield from answer(held[0]["bucket"], held)
 
-    return dealt.mapInArrow(lambda batches: batches_of(rows(batches), arrow), ANSWER)
+    found = dealt.mapInArrow(lambda batches: batches_of(rows(batches), arrow), ANSWER)
+    gathered = found.repartition(tasks, "block").groupBy("block").agg(F.max("last").alias("last"), F.collect_list(F.struct("bucket", "n", "counts")).alias(f"answers{kind}"))
+    return bucketed(gathered, f"answers-{kind}", "block", tasks)
 
 
-def gather(table: pa.Table, kind: int, lanes: list[np.ndarray], buckets: int, columns: int) -> list[np.ndarray]:
+def gather(found: list[dict] | None, lanes: list[np.ndarray], buckets: int, columns: int) -> list[np.ndarray]:
     """The answers of one kind, in the order of the keys that were asked for."""
     out = [np.zeros(len(lanes[0]), dtype=np.int64) for _ in range(columns)]
-    rows = {b: (n, c) for k, b, n, c in zip(*(table.column(x).to_pylist() for x in ("kind", "bucket", "n", "counts"))) if k == kind}
+    rows = {r["bucket"]: r for r in found or ()}
     if len(lanes[0]):
         for bucket, at in by_bucket(lanes, buckets):
-            n, counts = rows[bucket]
-            for column, values in zip(out, unpack(counts, n)):
+            for column, values in zip(out, unpack(rows[bucket]["counts"], rows[bucket]["n"])):
                 column[at] = values
     return out
 
 
-def numbered_blocks(blocks: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
-    """``blocks`` with the number of each word in place of its digest, and the counts over all blocks."""
-    ids_type = blocks.schema["ids"].dataType.simpleString()
-    out = f"block long, ids {ids_type}, sizes binary, tokens binary, n_words int, last_number long, words binary, counts binary"
-    arrow = arrow_schema(blocks, out)
+class Grams:
+    """The n-grams of a block and their counts over all blocks, order by order."""
 
-    def join(own: pa.Table, found: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return arrow.empty_table()
-        row = own.to_pylist()[0]
-        digests = np.frombuffer(row["words"], dtype=np.uint64).reshape(-1, 2)
-        n, ends, numbers = gather(found, 1, [digests[:, 0].copy(), digests[:, 1].copy()], buckets, 3)
+    def __init__(self, row: dict, buckets: dict[int, int], bits: int):
+        self.row, self.buckets, self.bits = row, buckets, bits
+        n_docs, n_words = len(row["ids"]), row["n_words"]
+        self.sizes = unpack(row["sizes"], n_docs)[0].astype(np.int64)
+        total, ends, numbers = gather(row["answers1"], digest_lanes(row["words"], n_words), buckets[1], 3)
         # Places follow the numbers from here on, so that n-grams sort by places as by numbers.
         order = np.argsort(numbers)
-        rank = np.zeros(len(order) + 1, dtype=np.int64)
-        rank[order + 1] = np.arange(1, len(order) + 1)
-        some = len(order) > 0
-        tokens = pack([rank[unpack(row["tokens"], row["n_tokens"])[0].astype(np.int64)]]) if some else b""
-        packed = pack([np.diff(numbers[order], prepend=0)]) if some else b""
-        columns = [row["block"], row["ids"], row["sizes"], tokens, len(order), int(numbers.max(initial=0)), packed, pack([n[order], ends[order]]) if some else b""]
-        return pa.Table.from_arrays([pa.array([c], k.type) for c, k in zip(columns, arrow)], schema=arrow)
-
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join, out)
-
-
-class Grams:
-    """The n-grams of a block, order by order."""
-
-    def __init__(self, sizes: bytes, n_docs: int, tokens: bytes, words: bytes, n_words: int):
-        self.sizes = unpack(sizes, n_docs)[0].astype(np.int64)
+        rank = np.zeros(n_words + 1, dtype=np.int64)
+        rank[order + 1] = np.arange(1, n_words + 1)
         n = int(self.sizes.sum())
-        self.tokens = unpack(tokens, n)[0].astype(np.int64) if n else np.empty(0, np.int64)
-        numbers = np.cumsum(unpack(words, n_words)[0].astype(np.int64)) if n_words else np.empty(0, np.int64)
-        self.numbers = np.r_[0, numbers]
+        self.tokens = rank[unpack(row["tokens"], n)[0].astype(np.int64)] if n else np.empty(0, np.int64)
+        self.numbers, self.word_counts = np.r_[0, numbers[order]], (total[order], ends[order])
         self.doc = np.repeat(np.arange(n_docs), self.sizes)
-        self.begin = (np.cumsum(self.sizes) - self.sizes)[self.doc]
-        self.within = np.arange(n) - self.begin
+        self.within = np.arange(n) - (np.cumsum(self.sizes) - self.sizes)[self.doc]
         self.last = (np.cumsum(self.sizes) - 1)[self.doc]
+        self.ends = np.unique(self.last)
 
     def longer(self, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(place of each position's n-gram among the distinct ones in order, a position of each), from those of one word less."""
         key = self.tokens
         if place is not None:
-            before = np.r_[0, place[:-1] + 1][: len(place)]
-            key = np.where(self.within > 0, before, 0) * len(self.numbers) + key
+            key = np.where(self.within > 0, np.r_[0, place[:-1] + 1], 0) * len(self.numbers) + key
         _, at, own = np.unique(key, return_index=True, return_inverse=True)
         return own, at
 
-    def lanes(self, at: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    def lanes(self, at: np.ndarray, order: int) -> list[np.ndarray]:
         """The n-grams at some positions as numbers, as many as fit side by side in 64 bits."""
         each = [np.where(self.within[at] >= t, self.numbers[self.tokens[np.maximum(at - t, 0)]], 0).astype(np.uint64) for t in range(order - 1, -1, -1)]
-        side, out = max(1, 64 // bits), []
+        side, out = max(1, 64 // self.bits), []
         for i in range(0, order, side):
             lane = each[i]
             for more in each[i + 1 : i + side]:
-                lane = (lane << np.uint64(bits)) | more
+                lane = (lane << np.uint64(self.bits)) | more
             out.append(lane)
         return out
 
-    def in_document(self, own: np.ndarray) -> np.ndarray:
+    def orders(self, upto: int) -> Iterator[tuple]:
+        """(order, place, counts here, texts that end with it here, those to ask for, their lanes, counts, ends) up to an order."""
+        place = alone = None
+        for k in range(1, upto + 1):
+            before = place
+            place, at = self.longer(place)
+            here, ends_here = np.bincount(place, minlength=len(at)), np.bincount(place[self.ends], minlength=len(at))
+            n, ends, ask, lanes = here, ends_here, np.zeros(len(at), dtype=bool), []
+            if k == 1:
+                n, ends = (x[self.tokens[at] - 1] for x in self.word_counts)
+            else:
+                ask = ~(alone[before[at]] | (self.within[at] > 0) & alone[before[np.maximum(at - 1, 0)]])
+                lanes = self.lanes(at[ask], k)
+                if f"answers{k}" in self.row:
+                    n, ends = here.copy(), ends_here.copy()
+                    n[ask], ends[ask] = gather(self.row[f"answers{k}"], lanes, self.buckets[k], 2)
+            alone = n == here
+            yield k, place, here, ends_here, ask, lanes, n, ends
+
+    def in_document(self, place: np.ndarray) -> np.ndarray:
         """How often the n-gram at each position stands in its document."""
-        _, place, n = np.unique(self.doc * (int(own.max(initial=0)) + 1) + own, return_inverse=True, return_counts=True)
-        return n[place]
-
+        _, own, n = np.unique(self.doc * (int(place.max(initial=0)) + 1) + place, return_inverse=True, return_counts=True)
+        return n[own]
 
-def gram_requests(numbered: DataFrame, order: int, bits: int, buckets: dict[int, int]) -> DataFrame:
-    arrow = arrow_schema(numbered, REQUEST)
-
-    def rows(batches):
-        for batch in batches:
-            for block, n_docs, sizes, tokens, n_words, words in zip(*(c.to_pylist() for c in batch.columns)):
-                grams = Grams(sizes, n_docs, tokens, words, n_words)
-                ends = np.unique(grams.last)
-                own, _ = grams.longer(None)
-                for k in range(2, order + 1):
-                    own, at = grams.longer(own)
-                    counts = [np.bincount(own, minlength=len(at)), np.bincount(own[ends], minlength=len(at))]
-                    yield from requests(k, block, grams.lanes(at, k, bits), counts, buckets[k])
-
-    columns = numbered.select("block", F.size("ids").alias("n_docs"), "sizes", "tokens", "n_words", "words")
-    return columns.mapInArrow(lambda batches: batches_of(rows(batches), arrow), REQUEST)
-
-
-def score_blocks(numbered: DataFrame, answered: DataFrame, order: int, bits: int, buckets: dict[int, int], factor: float, n_tokens: int, n_docs: int, out: str) -> DataFrame:
-    arrow = arrow_schema(numbered, out)
-
-    def scores(grams: Grams, row: dict, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, order: int, factor: float, n_tokens: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Each position's logarithm, and whether it backed off."""
-        outside = np.maximum(n_tokens - grams.sizes[grams.doc], 1)
-        s = np.log(factor**order / outside)  # for words of no other document
+        context = np.maximum(n_tokens - self.sizes[self.doc], 1)
+        s = np.log(factor**order / context)  # for words of no other document
         backed = np.ones(len(s), dtype=bool)
-        context, place = None, None
-        for k in range(1, order + 1):
-            place, at = grams.longer(place)
-            if k == 1:
-                n, ends = (x.astype(np.int64)[grams.tokens[at] - 1] for x in unpack(row["counts"], row["n_words"]))
-                context = outside
-            else:
-                n, ends = gather(found, k, grams.lanes(at, k, bits), buckets[k], 2)
-            here = grams.in_document(place)
+        for k, place, _, _, _, _, n, ends in self.orders(order):
+            here = self.in_document(place)
             others = n[place] - here
             seen = others > 0
             s = np.where(seen, np.log(np.where(seen, others, 1) * factor ** (order - k) / np.where(seen, context, 1)), s)
             backed = ~seen
             # The next order's contexts: these n-grams one place before, where a word follows, in other documents.
-            followed = (n - ends)[place] - (here - (place == place[grams.last]))
-            context = np.where(grams.within > 0, np.r_[0, followed[:-1]], n_docs - 1)
+            followed = (n - ends)[place] - (here - (place == place[self.last]))
+            context = np.where(self.within > 0, np.r_[0, followed[:-1]], n_docs - 1)
         return s, backed
 
-    def join(own: pa.Table, found: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return arrow.empty_table()
-        row = own.to_pylist()[0]
-        grams = Grams(row["sizes"], len(row["ids"]), row["tokens"], row["words"], row["n_words"])
-        backed, total = (np.zeros(len(row["ids"])) for _ in range(2))
-        if len(grams.tokens):
-            s, b = scores(grams, row, found)
-            backed, total = (np.bincount(grams.doc, weights=x, minlength=len(row["ids"])) for x in (b, s))
-        columns = [pa.array(row["ids"], arrow.field(0).type), pa.array(grams.sizes), pa.array(backed.astype(np.int64)), pa.array(total)]
-        return pa.Table.from_arrays(columns, schema=arrow)
 
-    return numbered.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join, out)
+def gram_requests(joined: DataFrame, order: int, bits: int, buckets: dict[int, int]) -> DataFrame:
+    arrow = arrow_schema(joined, REQUEST)
+
+    def rows(batches):
+        for row in rows_of(batches):
+            *_, (k, _, here, ends, ask, lanes, _, _) = Grams(row, buckets, bits).orders(order)
+            yield from requests(k, row["block"], lanes, [here[ask], ends[ask]], buckets[k])
+
+    return joined.mapInArrow(lambda batches: batches_of(rows(batches), arrow), REQUEST)
+
+
+def score_blocks(joined: DataFrame, order: int, bits: int, buckets: dict[int, int], factor: float, n_tokens: int, n_docs: int, out: str) -> DataFrame:
+    arrow = arrow_schema(joined, out)
+
+    def run(batches):
+        for row in rows_of(batches):
+            grams = Grams(row, buckets, bits)
+            sums = [np.zeros(len(grams.sizes))] * 2
+            if len(grams.tokens):
+                sums = [np.bincount(grams.doc, weights=x, minlength=len(grams.sizes)) for x in grams.scores(order, factor, n_tokens, n_docs)]
+            columns = [pa.array(row["ids"], arrow.field(0).type), pa.array(grams.sizes), pa.array(sums[1].astype(np.int64)), pa.array(sums[0])]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return joined.mapInArrow(run, out)
 
 
 def backoff_scores(
@@ -348,16 +345,21 @@ def backoff_scores(
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
-    blocks = materialize(block_table(docs, id_col=id_col, text_col=text_col, block=block), "blocks")
-    n_keys, n_docs, n_tokens = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_docs"), F.sum("n_tokens")).first())
+    columns = {"id_col": id_col, "text_col": text_col}
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = docs.sparkSession.sparkContext.defaultParallelism
-    buckets = {k: max(least, 1 + (n_keys if k == 1 else n_tokens) // bucket) for k in range(1, order + 1)}
-    numbered = materialize(numbered_blocks(blocks, answers(word_requests(blocks, buckets[1]), buckets), buckets[1]), "numbered")
-    bits = max(1, (numbered.agg(F.max("last_number")).first()[0] or 0).bit_length())
-    id_type = docs.schema[id_col].dataType.simpleString()
-    out = f"id {id_type}, n_tokens long, n_backoff long, log_score double"
-    answered = answers(gram_requests(numbered, order, bits, buckets), buckets)
-    scored = score_blocks(numbered, answered, order, bits, buckets, factor, n_tokens, n_docs, out)
+    tasks = int(max(2 * least, 1 + n_bytes // TASK))
+    blocks = bucketed(block_table(docs, **columns, block=block), "blocks", "block", tasks)
+    n_keys, n_docs, n_tokens = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_docs"), F.sum("n_tokens")).first())
+    buckets = {k: int(max(least, 1 + (n_keys if k == 1 else n_tokens) // bucket)) for k in range(1, order + 1)}
+    found = answers(word_requests(blocks, buckets[1]), 1, buckets[1], tasks)
+    bits = max(1, (found.agg(F.max("last")).first()[0] or 0).bit_length())
+    joined = blocks.drop("counts", "n_docs", "n_tokens").join(found.drop("last"), "block", "left")
+    for k in range(2, order + 1):
+        found = answers(gram_requests(joined, k, bits, buckets), k, buckets[k], tasks)
+        joined = joined.join(found.drop("last"), "block", "left")
+    out = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_backoff long, log_score double"
+    scored = score_blocks(joined, order, bits, buckets, factor, n_tokens, n_docs, out)
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_backoff", "log_score", F.expr("CASE WHEN n_tokens > 0 THEN log_score / n_tokens END").alias("mean_log_score"))
 
 

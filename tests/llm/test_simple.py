@@ -128,8 +128,11 @@ def test_backoff(docs, rows, none, order, block, bucket):
     at = lambda w, p, k: tuple(([None] * order + w)[p + order - k + 1 : p + order + 1])
     own = [Counter((k, *at(w, p, k)) for p in range(len(w)) for k in range(1, order + 1)) for _, w in texts]
     before = [Counter((k, *at(w, p, k)[:-1]) for p in range(len(w)) for k in range(1, order + 1)) for _, w in texts]
-    grams, contexts = sum(own, Counter()), sum(before, Counter())
-    want = []
+    grams, contexts = Counter(), Counter()
+    for mine, met in zip(own, before):
+        grams.update(mine)
+        contexts.update(met)
+    want, total = [], sum(len(x) for _, x in texts)
     for (i, w), mine, met in zip(texts, own, before):
         back, s = 0, 0.0
         for p in range(len(w)):
@@ -138,7 +141,7 @@ def test_backoff(docs, rows, none, order, block, bucket):
                 k -= 1
             back += k < order
             key = (k, *at(w, p, k)[:-1])
-            share = (grams[k, *at(w, p, k)] - mine[k, *at(w, p, k)]) / (contexts[key] - met[key]) if k else 1 / (sum(len(x) for _, x in texts) - len(w))
+            share = (grams[k, *at(w, p, k)] - mine[k, *at(w, p, k)]) / (contexts[key] - met[key]) if k else 1 / (total - len(w))
             s += (order - k) * math.log(0.4) + math.log(share)
         want.append((-1 if i is None else i, len(w), back, round(s, 6) + 0.0))
     got = backoff.backoff_scores(docs, order=order, block=block, bucket=bucket).collect()
