@@ -75,3 +75,26 @@ def slices(texts: list, most: int = 1 << 20) -> Iterator[list]:
             part, size = [], 0
     if part:
         yield part
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def split_join(rows: DataFrame, by_key: DataFrame, key: str, count: str, *, most: int = 10_000) -> DataFrame:
+    """The inner join of ``rows`` with one row a key, of which column ``count`` says how many ``rows`` it has.
+
+    Keys with more than 1 / ``most`` of all rows are ``most`` at most, so that they are
+    broadcast and their rows stay where they are; the others are joined by a shuffle.
+    """
+    total = by_key.agg(F.sum(count)).first()[0] or 0
+    limit = max(most, total // most)
+    hot, cold = by_key.where(F.col(count) > limit), by_key.where(F.col(count) <= limit)
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(cold, key).unionByName(rows.join(F.broadcast(hot), key))

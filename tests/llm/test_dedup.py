@@ -81,6 +81,9 @@ def test_line_dedup(spark, docs, rows, none):
     rng = random.Random(1)
     more = [(1000 + i, "\n".join(rng.choice(LINES) for _ in range(rng.randint(1, 5)))) for i in range(25)]
     every = [*rows, *more]
+    short = [(2000 + i, t) for i, t in enumerate(["short line one", "short line onf", "a", "b", "ab", "abc", "xyz", "a", "xyzz"])]
+    more += short
+    every = [*rows, *more]
     key = lambda i, n: ((i is not None, i or 0), n)
     first = {}
     for i, t in every:
@@ -88,7 +91,7 @@ def test_line_dedup(spark, docs, rows, none):
             s = line.strip()
             if s:
                 first[s] = min(first.get(s, key(i, n)), key(i, n))
-    near = {s for s in first if len(s) >= 16 and any(len(o) >= 16 and within_one(s, o) and first[o] < first[s] for o in first if abs(len(o) - len(s)) < 2)}
+    near = {s for s in first if any(within_one(s, o) and first[o] < first[s] for o in first if abs(len(o) - len(s)) < 2)}
     want = []
     for i, t in every:
         kept, exact, close = [], 0, 0
@@ -148,10 +151,17 @@ def test_suffix_dedup(docs, rows, none, hot, shard):
         assert suffixdedup.remove_repeats(none).count() == 0
 
 
-def test_line_dedup_from_a_null_id(spark):
+@pytest.mark.parametrize(("ids", "dropped"), [((None, 5), 1), ((5, None), 1), ((None, None), 1), ((5, 5), 1), ((4, 5), 1)])
+def test_line_dedup_by_ids(spark, ids, dropped):
+    """Null and equal ids order documents like any others, and no column name is in the way."""
     line = "the quick brown fox jumps over it"
-    got = linededup.dedup_lines(spark.createDataFrame([(None, line), (1, line + "!"), (2, "another line of its own")], "doc_id long, text string"))
-    assert {r.doc_id: (r.n_near, r.text) for r in got.collect()} == {None: (0, line), 1: (1, ""), 2: (0, "another line of its own")}
+    rows = [(ids[0], line, "a", 1), (ids[1], line + "!", "b", 2), (9, "another line of its own", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, drop_lines int")
+    got = linededup.dedup_lines(docs).collect()
+    assert sum(r.n_near for r in got) == dropped and sorted(len(r.text) for r in got)[:2] == [0, 23]
+    assert {(r["__id"], r.drop_lines) for r in got} == {("a", 1), ("b", 2), (None, None)}
+    if None in ids and 5 in ids:
+        assert {r.doc_id: r.text for r in got}[None] != ""
 
 
 def test_keep_first_with_null_ids(spark):
