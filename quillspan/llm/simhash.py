@@ -8,11 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.decontaminate import sized
-from quillspan.llm.text import arrow_schema, map_texts
+from quillspan.llm.text import arrow_schema, free_name, map_texts, split_join
 from quillspan.operators.components import connected_components
 from quillspan.session import materialize
 
@@ -66,6 +66,15 @@ def finer_masks(mask: int, blocks: int, distance: int) -> list[int]:
     return [mask | sum(c) for c in combinations(rest, blocks - distance)]
 
 
+def pivot_key(fp: Column, mask: Column) -> Column:
+    """A hash of the distances to all references, over the bits of a mask.
+
+    Fingerprints that agree on the mask have equal coordinates there, so that none of their
+    differences exceeds zero; others meet by chance only, and are verified like all.
+    """
+    return F.xxhash64(*(F.bit_count(fp.bitwiseXOR(F.lit(signed(int(r)))).bitwiseAND(mask)) for r in REFERENCES))
+
+
 def near_pairs(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that join all values of one bucket that are within the distance of each other.
 
@@ -132,11 +141,12 @@ def links_in_buckets(met: DataFrame, distance: int) -> DataFrame:
 def fingerprint_links(fps: DataFrame, *, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints within the distance of each other.
 
-    Values within the distance agree on all but ``distance`` of ``distance + 2`` blocks of
-    bits, so each goes under one key for each choice of two blocks, and meets its partners
-    under one of them. Buckets up to ``bucket`` values are compared there. Larger ones are
+    The distance tables are made by blocks of bits. Values within the distance agree on all
+    but ``distance`` of ``distance + 2`` blocks, so that over two blocks at least the largest
+    difference of their coordinates is zero: each value goes under the coordinates of each
+    choice of two blocks, and meets its partners under one of them. Buckets up to ``bucket`` values are compared there. Larger ones are
     dealt out again under keys with half of the remaining bits, and so on; after three
-    such steps so few bits remain that no bucket can be larger. No value is left out, and
+    such steps so few bits remain that buckets are small. No value is left out, and
     a bucket gives fewer links than it has values.
     """
     spark = fps.sparkSession
@@ -146,10 +156,10 @@ def fingerprint_links(fps: DataFrame, *, distance: int = DISTANCE, bucket: int =
         finer = {m: finer_masks(m, blocks, distance) for m in masks}
         table = spark.createDataFrame([(signed(m), [signed(x) for x in xs]) for m, xs in finer.items()], "mask long, finer array<long>")
         keyed = keyed.join(F.broadcast(table), "mask").select(F.explode("finer").alias("mask"), "fp")
-        keyed = keyed.withColumn("value", F.col("mask").bitwiseAND(F.col("fp")))
+        keyed = keyed.withColumn("value", pivot_key(F.col("fp"), F.col("mask")))
         shared = keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
         met = materialize(keyed.join(sized(shared), ["mask", "value"]).select("mask", "value", "fp", "n"), "met")
-        last = level == 3  # under 64 values fit what is left of a key by then
+        last = level == 3  # under 64 values agree on what a mask has by then
         few = met.where((F.col("n") <= bucket) | F.lit(last)).select("mask", "value", "fp")
         found = links_in_buckets(few.repartition("mask", "value").sortWithinPartitions("mask", "value"), distance)
         links = found if links is None else links.unionByName(found)
@@ -171,30 +181,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives an empty result. Only the id and the text are read.
     """
     own = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, size=size), "fingerprints")
-    first = materialize(own.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
+    first = materialize(own.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")), "distinct")
     links = materialize(fingerprint_links(first.select("fp"), distance=distance, bucket=bucket), "links")
     components = connected_components(links)
     named = first.join(sized(components.select(F.col("node").alias("fp"), "component")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named, "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return own.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = materialize(named.join(least, "component").select("fp", "copies", "component_id"), "by-fingerprint")
+    out = split_join(own.withColumnRenamed(id_col, "own_id"), by_fp, "fp", "copies")
+    return out.select(F.col("own_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component.
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest id.
 
-    Rows with a null id go, unless ``null_ids`` is set: then one row stays of each
-    component that has no other id.
+    Null ids come last, so that a component whose ids are all null keeps a row too; of rows
+    with the same id any one stays. Null and empty texts are one component. All columns stay,
+    whatever their names; an empty table gives an empty result.
     """
-    near = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col), "near")
-    kept = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    out = docs.join(sized(materialize(kept, "kept")), id_col, "left_semi").select(docs.columns)
-    orphans = near.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    if not null_ids or orphans.isEmpty():
-        return out
-    # All members of such a component have null ids, so that these rows alone give the same components.
-    tagged = materialize(docs.where(F.col(id_col).isNull()).withColumn("__row", F.monotonically_increasing_id()), "without-id")
-    own = near_duplicates(tagged, id_col="__row", text_col=text_col).join(sized(orphans), "fingerprint", "left_semi")
-    first = materialize(own.where(F.col("__row") == F.col("component_id")).select("__row"), "first-rows")
-    return out.unionByName(tagged.join(sized(first), "__row", "left_semi").select(docs.columns))
+    row = free_name(docs, "row_of_docs")
+    tagged = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
+    key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    near = near_duplicates(tagged.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text")
+    kept = materialize(near.where(F.col("key") == F.col("component_id")).select(F.col("key.row").alias(row)), "kept")
+    return tagged.join(sized(kept), row, "left_semi").select(docs.columns)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillspan.llm import inducedsort, linededup, simhash, suffixdedup
 
@@ -47,7 +48,25 @@ def test_simhash(docs, rows, none, bucket):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == want
     if bucket > 2:
         assert simhash.near_duplicates(none).count() == 0
-        assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(least.values())
+        groups = {c: min((i is None, i or 0) for (i, _), d in zip(rows, comps) if d == c) for c in comps}
+        kept = simhash.keep_first(docs)
+        assert kept.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(groups.values())
+        assert simhash.keep_first(none).count() == 0
+
+
+def test_pivot_tables_bring_candidates(spark, monkeypatch):
+    """Links come from coordinates: without references all values share a key, with them few do."""
+    rng = random.Random(9)
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    fps += [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in fps[:60]]
+    df = spark.createDataFrame([(simhash.signed(x),) for x in set(fps)], "fp long")
+    met = df.select(F.explode(F.array(*(F.lit(simhash.signed(m)) for m in simhash.finer_masks(0, 5, 3)))).alias("mask"), "fp")
+    keyed = met.select("mask", simhash.pivot_key(F.col("fp"), F.col("mask")).alias("key"), "fp")
+    sizes = [r["count"] for r in keyed.groupBy("mask", "key").count().collect()]
+    assert max(sizes) <= 4 and sum(n > 1 for n in sizes) >= 60
+    want = {frozenset((x, y)) for x in fps for y in fps if x != y and (x ^ y).bit_count() <= 3}
+    got = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.fingerprint_links(df).collect()}
+    assert got <= want and {x for p in got for x in p} == {x for p in want for x in p}
 
 
 def test_every_close_pair_shares_a_key():
@@ -164,8 +183,11 @@ def test_line_dedup_by_ids(spark, ids, dropped):
         assert {r.doc_id: r.text for r in got}[None] != ""
 
 
-def test_keep_first_with_null_ids(spark):
+def test_keep_first_with_null_and_repeated_ids(spark):
     text = "alone in its group as no other text has these words"
     rows = [(None, text), (None, text), (None, "a second text that nothing else is like at all"), (3, "copied text with a few words"), (None, "copied text with a few words"), (4, "another one")]
-    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), null_ids=True)
-    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, text), (0, rows[2][1]), rows[3], rows[5]])
+    rows += [(9, "one of two texts of an id"), (9, "copied text with a few words"), (4, "another one")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row_of_docs int")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, text), (0, rows[2][1]), rows[3], rows[5], rows[6]])
