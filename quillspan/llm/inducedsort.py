@@ -17,9 +17,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Entries that the queues of one scan hold in memory, and symbols of a reduced text that is sorted there.
-MEMORY = 4_000_000
+MEMORY = 200_000
 #: Entries that a scan takes at once.
-BATCH = 1 << 18
+BATCH = 1 << 17
 FAR = np.int32(1 << 30)
 
 

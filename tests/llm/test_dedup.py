@@ -150,9 +150,21 @@ def test_induced_sorting(tmp_path, memory):
     assert not list(tmp_path.iterdir())
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(4000, 1 << 22), (3, 2000), (1, 1)])
-def test_suffix_dedup(docs, rows, none, hot, shard):
-    length = 60
+def test_queues_spill_at_the_default_memory(tmp_path, monkeypatch):
+    """A shard of usual size is sorted by queues on disk and by recursion, not in memory."""
+    rng, length, met = np.random.default_rng(7), 400, []
+    text = rng.integers(1, 5, 700_000).astype(np.uint16)
+    text[400_000:401_000] = text[100_000:101_000]
+    push, plain = inducedsort.BucketQueues.push, inducedsort.sort_in_memory
+    monkeypatch.setattr(inducedsort.BucketQueues, "push", lambda q, s, e: (push(q, s, e), met.append(len(q.on_disk)))[0])
+    monkeypatch.setattr(inducedsort, "sort_in_memory", lambda names, longest: (met.append(-len(names)), plain(names, longest))[1])
+    found = np.flatnonzero(inducedsort.repeats(text, length, str(tmp_path)))
+    assert found.tolist() == [*range(100_000, 100_601), *range(400_000, 400_601)]
+    assert max(met) > 1 and -200_000 <= min(met) and suffixdedup.SHARD > 5 * inducedsort.MEMORY
+
+
+@pytest.mark.parametrize(("hot", "shard", "length"), [(4000, 1 << 22, 60), (2, 1, 60), (suffixdedup.HOT, suffixdedup.SHARD, suffixdedup.LENGTH)])
+def test_suffix_dedup(docs, rows, none, hot, shard, length):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(d[s : s + length] for _, d in data for s in range(len(d) - length + 1))
     want = []
