@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.text import arrow_schema, slices
+from quillspan.llm.decontaminate import sized
+from quillspan.llm.text import arrow_schema, slices, split_join
+from quillspan.session import materialize
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: Part of the version digest: raise it when counts of the same file would change.
@@ -42,6 +47,38 @@ def counter(name: str, payload: bytes):
     return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def normaliser(name: str, payload: bytes) -> Callable[[str], str] | None:
+    """What the tokenizer file itself makes of a text before it cuts it; None where it has no normalizer.
+
+    Texts with one normalised content have one count. Strings of added tokens are found
+    before, so that they stay as they are, between marks that tell them from text.
+    """
+    if name.endswith(".model"):
+        return None
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_buffer(payload)
+    if model.normalizer is None:
+        return None
+    tokens = {t.content: i for i, t in model.get_added_tokens_decoder().items()}
+    split = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")").split if tokens else lambda x: [x]
+    normalise = model.normalizer.normalize_str
+    return lambda text: "".join(f"\0{tokens[x]}\0" if i % 2 else normalise(x).replace("\0", "\0\0") for i, x in enumerate(split(text)))
+
+
+def digest_column(name: str, payload: Broadcast, text: Column) -> Column:
+    """Digest of a text's normalised content."""
+    if normaliser(name, payload.value) is None:
+        return F.unhex(F.sha2(text, 256))
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        normalise = normaliser(name, payload.value)
+        return texts.map(lambda x: hashlib.sha256(normalise(x).encode()).digest())
+
+    return digest(text)
+
+
 def read_cache(spark: SparkSession, cache_dir: str, version: str) -> DataFrame:
     """Stored counts of this version; empty when nothing is stored yet."""
     jvm = spark.sparkContext._jvm
@@ -64,12 +101,13 @@ def count_tokens(
     """Tokens of every whole text, looked up by digest and encoded only where missing.
 
     The cache is a table in ``cache_dir``, a folder that driver and executors share, with
-    a folder for each version digest. Each call joins the digests of the distinct texts
-    to it, encodes the misses (one text a digest) and appends their counts; then all
-    documents are joined to the cache. A task that is run again writes the same rows.
-    Returns the id, n_bytes, n_tokens and over_limit. Null counts as the empty text; an
-    empty table gives an empty result; repeated rows each get a row; columns other than
-    the id and the text are not read.
+    a folder for each version digest. Each call joins the digests of the distinct
+    normalised contents to it, encodes the misses (one text a digest) and appends their
+    counts; then all documents are joined to the cache. A task that is run again writes the
+    same rows. Returns the id, n_bytes, n_tokens and over_limit. Null counts as the empty
+    text; an empty table gives an empty result; repeated rows each get a row, and a digest
+    with a large share of them isn't dealt out by key; columns other than the id and the
+    text are not read.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
@@ -78,12 +116,17 @@ def count_tokens(
     version = tokenizer_version(name, payload)
     shared = spark.sparkContext.broadcast(payload)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    misses = (
-        keyed.groupBy("digest").agg(F.first("text").alias("text")).join(read_cache(spark, cache_dir, version), "digest", "left_anti")
-    )
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", digest_column(name, shared, F.col("text")))
+    rows = materialize(keyed.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    by_digest = materialize(rows.groupBy("digest").agg(F.count("*").alias("copies")), "by-digest")
+    misses = materialize(by_digest.join(read_cache(spark, cache_dir, version), "digest", "left_anti").select("digest"), "misses")
+    n_misses = misses.count()
+    texts = keyed.select("digest", "text")
+    if n_misses < by_digest.count():
+        texts = texts.join(sized(misses), "digest", "left_semi")
+    texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
     out = "digest binary, n_tokens long"
-    arrow = arrow_schema(misses, out)
+    arrow = arrow_schema(texts, out)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
@@ -92,10 +135,7 @@ def count_tokens(
             n = [k for part in slices(batch.column("text").to_pylist()) for k in count(part)]
             yield pa.RecordBatch.from_arrays([batch.column("digest").cast(arrow.field(0).type), pa.array(n, pa.int64())], schema=arrow)
 
-    misses.mapInArrow(encode, out).write.mode("append").parquet(f"{cache_dir}/version={version}")
-    known = read_cache(spark, cache_dir, version)
-    return (
-        keyed.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-        .join(known, "digest", "left")
-        .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    if n_misses:
+        texts.mapInArrow(encode, out).write.mode("append").parquet(f"{cache_dir}/version={version}")
+    known = by_digest.join(read_cache(spark, cache_dir, version), "digest")
+    return split_join(rows, known, "digest", "copies").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
