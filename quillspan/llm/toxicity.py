@@ -20,9 +20,7 @@ from quillspan.session import materialize
 
 #: Labelled documents that the lexicon and the weights are fitted on, at most.
 MAX_TRAIN = 20_000
-#: Terms of the lexicon, at most.
-MAX_TERMS = 2_000
-#: Prefix lengths (in code points) that may become terms; longer words are terms as a whole too.
+#: Prefix lengths (in code points) that may become terms; every other word of three and more may as a whole.
 PREFIXES = range(4, 9)
 #: Least likelihood ratio statistic of a term against the labels.
 EVIDENCE = 25.0
@@ -133,7 +131,7 @@ class Scorer:
         for n in self.sizes:
             if (i := self.number.get(word[:n])) is not None:
                 return i, 0
-        if self.halves.may_hold(word) and (found := intersect(word[:64], self.trie)):
+        if self.halves.may_hold(word) and (found := intersect(word[: self.sizes[0] + 1], self.trie)):
             return self.fuzzy[found[0]], found[1]
         return None
 
@@ -227,7 +225,7 @@ def candidate_terms(train: DataFrame) -> DataFrame:
                 for last, word in pairs:
                     word = word.decode("utf-8", "replace")
                     own = [word[:n] for n in PREFIXES if n <= len(word)]
-                    if max(PREFIXES) < len(word) <= 24 or len(word) == 3:
+                    if len(word) > max(PREFIXES) or len(word) == 3:
                         own.append(word)
                     terms.update(own)
                     if toxic:
@@ -265,15 +263,17 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> li
         return g
 
     ranked = sorted(((-round(ratio(t, c), 6), -len(term), term) for term, t, c in rows if t * clean > MIN_RATIO * c * toxic))
-    chosen: list[str] = []
+    chosen: dict[str, None] = {}
+    sizes: set[int] = set()
     begins: set[str] = set()
     for g, _, term in ranked:
-        if -g < EVIDENCE or len(chosen) == MAX_TERMS:
+        if -g < EVIDENCE:
             break
-        if term not in begins and not any(term[:n] in chosen for n in range(3, len(term))):
-            chosen.append(term)
+        if term not in begins and not any(n < len(term) and term[:n] in chosen for n in sizes):
+            chosen[term] = None
+            sizes.add(len(term))
             begins.update(term[:n] for n in range(1, len(term) + 1))
-    return chosen
+    return list(chosen)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> list[float]:
@@ -294,6 +294,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of labelled rows that aren't held out; what reaches the driver is bounded by ``most``.
 
+    Every word and prefix of the sample that has the evidence is a term; there is no other bound.
     Each weight is the log odds of a hit in toxic against clean documents; a misspelled hit
     has a weight of its own only if it rests on enough documents, and none below zero.
     """
@@ -306,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_col: st
     # EVIDENCE needs at least so many toxic documents, and terms that clean ones have as often are of no use.
     least = max(2, math.floor(EVIDENCE / (2 * math.log((toxic + clean) / toxic))))
     likely = counts.where((F.col("t") >= least) & (F.col("t") * clean > MIN_RATIO * F.col("c") * toxic))
-    rows = [tuple(r) for r in likely.orderBy(F.desc(F.col("t") - F.col("c")), "term").limit(50 * MAX_TERMS).collect()]
+    rows = [tuple(r) for r in likely.collect()]
     terms = choose_terms(rows, toxic, clean)
     plain = Model(terms, [(1.0, 1.0)] * len(terms), 1.0, [0.0] * 4)
     found = map_texts(
@@ -372,7 +373,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_co
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a model fitted on them and the labels doesn't predict as toxic; no shuffle of texts."""
+    """The rows of ``docs`` that a model fitted on them and the labels doesn't predict as toxic.
+
+    Each row is judged by its text alone, so that null and repeated ids do no harm; null and
+    empty texts score as texts without hits. All columns stay, whatever their names; no text
+    is shuffled; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most=most, id_col=id_col, text_col=text_col))
 
     @F.pandas_udf(DoubleType())
