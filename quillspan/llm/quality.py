@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 
 from quillspan.llm.text import map_texts
 
-#: (UTF-8 bytes below, lowest ratio, highest ratio) of compressed to raw bytes. The highest lie
-#: between prose and base64, random CJK or Latin-1 as UTF-8. Below 112 bytes prose and random
-#: text have the same ratios, so that zstandard can't judge a shorter text.
+#: (UTF-8 bytes below, lowest ratio, highest ratio) of compressed to raw bytes, for texts and
+#: chunks of that length. The highest lie between prose and base64, random CJK or Latin-1 as
+#: UTF-8. Below 112 bytes prose and random text have the same ratios (0.8 to 1.2), so that a
+#: highest one there would only tell lengths apart; repeated text lies lower.
 BANDS = (
-    (112, None, None),
-    (128, None, 0.99),
+    (64, 0.60, None),
+    (112, 0.45, None),
+    (128, 0.35, 0.99),
     (192, 0.27, 0.94),
     (256, 0.27, 0.88),
     (512, 0.33, 0.79),
@@ -25,7 +27,7 @@ BANDS = (
     (float("inf"), 0.20, 0.70),
 )
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.20, 0.70)
+#: Share of a text's bytes in chunks outside their bands, on the same side, that rejects it.
 CHUNK_SHARE = 0.5
 LEVEL = 3
 
@@ -66,6 +68,12 @@ def band(n_bytes: int) -> tuple[float | None, float | None]:
     return next((low, high) for below, low, high in BANDS if n_bytes < below)
 
 
+def side(n_bytes: int, ratio: float) -> int:
+    """-1 below the band of that length, 1 above it, else 0."""
+    low, high = band(n_bytes)
+    return -1 if low is not None and ratio < low else 1 if high is not None and ratio > high else 0
+
+
 def measure() -> Callable[[bytes], tuple]:
     """The function of one text that gives the columns of ``SCHEMA``."""
     squeeze = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False).compress
@@ -77,13 +85,10 @@ def measure() -> Callable[[bytes], tuple]:
         repeated = repeat_words(words)
         ratio = len(squeeze(data)) / len(data) if data else None
         chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
-        # A last chunk that isn't full has another scale, so that the whole-text band covers it.
-        full = [len(squeeze(c)) / CHUNK_BYTES for c in chunks if len(c) == CHUNK_BYTES]
-        low = sum(r < CHUNK_BAND[0] for r in full)
-        high = sum(r > CHUNK_BAND[1] for r in full)
-        least, most = band(len(data))
-        outside = ratio is not None and (least is not None and ratio < least or most is not None and ratio > most)
-        outside = outside or bool(full) and max(low, high) > CHUNK_SHARE * len(full)
+        sides = [side(len(c), len(squeeze(c)) / len(c)) for c in chunks] if len(chunks) > 1 else [side(len(c), ratio) for c in chunks]
+        low, high = sides.count(-1), sides.count(1)
+        in_side = [sum(len(c) for c, s in zip(chunks, sides) if s == way) for way in (-1, 1)]
+        outside = bool(data) and (side(len(data), ratio) != 0 or max(in_side) > CHUNK_SHARE * len(data))
         failed = n < MIN_WORDS or 100 * repeated > 20 * n
         return (
             n,
@@ -105,8 +110,9 @@ def measure() -> Callable[[bytes], tuple]:
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, compression ratios and a verdict for every document; no shuffle.
 
-    A text is rejected when its ratio leaves the band for its length, or when more than
-    half of its full chunks leave the chunk band on the same side, or by the base rules
+    A text is rejected when its ratio leaves the band for its length, or when chunks with
+    more than half of its bytes leave the bands for their length (that of the last one is
+    its own) on the same side, or by the base rules
     (fewer than ten words; over a fifth of its words in repeated windows of five words).
     Null and empty texts: all counts 0, ratio null, base_failed true. Very long texts are
     measured whole. Repeated rows each get a row. An empty table gives an empty result.

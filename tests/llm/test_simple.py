@@ -54,6 +54,44 @@ def test_quality(docs, rows, none):
     assert all(not r.kept for r in got.collect() if r.base_failed) and quality.quality(none).count() == 0
 
 
+def plain_kept(text):
+    """The verdict by plain rules: bands of whole texts and of pieces of 4096 bytes."""
+    import zstandard
+
+    data = (text or "").encode()
+    ratio = lambda x: len(zstandard.compress(x, 3)) / len(x)
+
+    def side(x):
+        frame = zstandard.ZstdCompressor(level=3, write_content_size=False).compress(x)
+        low, high = next((low, high) for below, low, high in quality.BANDS if len(x) < below)
+        return "low" if low is not None and len(frame) / len(x) < low else "high" if high is not None and len(frame) / len(x) > high else ""
+
+    if plain_quality(text)[-1]:
+        return False
+    bytes_of = Counter()
+    for i in range(0, len(data), 4096):
+        bytes_of[side(data[i : i + 4096])] += len(data[i : i + 4096])
+    return not side(data) and 2 * max(bytes_of["low"], bytes_of["high"]) <= len(data) and abs(ratio(data)) > 0
+
+
+def test_quality_verdict(spark, rows):
+    """Every column of the verdict against plain rules, with last chunks of all sizes."""
+    import base64
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    prose = " ".join(word() for _ in range(4000))
+    junk = " ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(2000))
+    same = " ".join(f"{w} x" for w in ["ab"] * 3) + " "
+    texts = [t for _, t in rows]
+    for cut in (30, 60, 100, 120, 700, 3000, 4090, 4097, 4200, 6000, 8000, 8193, 12_000):
+        texts += [prose[:cut], junk[:cut], prose[: cut // 2] + " " + junk[: cut // 2], (same * 2000)[:cut], prose[:200] + " " * cut]
+    got = quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [plain_kept(t) for t in texts]
+    assert 10 < sum(r.kept for r in got) < len(texts) - 10 and any(not r.kept and not r.base_failed for r in got)
+
+
 def test_quality_bands():
     import random
 
@@ -92,7 +130,7 @@ def test_quality_rejects_incompressible_chunks():
     prose = " ".join(rng.choice(vocabulary) for _ in range(3000))[:12_000]
     data = (prose + "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(230))).encode()
     row = quality.measure()(data)
-    assert row[8] > len(data) // quality.CHUNK_BYTES / 2 and row[5] < 0.7 and not row[-1]
+    assert row[8] * quality.CHUNK_BYTES > len(data) / 2 and row[5] < 0.7 and not row[-1]
 
 
 def test_lexicon_is_minimal_and_exact():
