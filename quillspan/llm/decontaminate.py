@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.text import words_column
+from quillspan.llm.text import free_name, words_column
 from quillspan.session import materialize
 
 WINDOW_WORDS = 13
+#: Words beyond an item's length that a near match may reach, and the share of its terms that it holds.
+SLOP = 8
+SHARE = 0.8
 #: Rows of a table of terms or row ids up to which it is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -28,8 +33,8 @@ def item_tokens(items: DataFrame, *, item_col: str = "item_id", text_col: str =
     return keyed.select("item_key", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("ipos", "term"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (row_id, doc_id, pos, term) of the given terms, stored in the shared folder.
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings (row_id, doc_id, pos, term) of every word, stored in the shared folder, for any test items.
 
     Each document also has one row with a null term, whose pos is its number of words.
     ``row_id`` tells rows apart, so that null and repeated ids do no harm.
@@ -38,9 +43,13 @@ def build_index(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", te
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), words_column(F.col(text_col)).alias("words")
     )
     tokens = words.select("row_id", "doc_id", F.posexplode(F.array_append("words", F.lit(None).cast("string"))).alias("pos", "term"))
-    known = sized(terms.select(F.col("term").alias("known")))
-    kept = tokens.join(known, F.col("term") == F.col("known"), "left").where("term IS NULL OR known IS NOT NULL").drop("known")
-    return materialize(kept, "postings")
+    return materialize(tokens, "postings")
+
+
+def frequencies(index: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(term, freq): how often the items' terms stand in the corpus."""
+    own = index.where("term IS NOT NULL").join(sized(tokens.select("term").distinct()), "term", "left_semi")
+    return own.groupBy("term").agg(F.count("*").alias("freq"))
 
 
 def rarest_terms(tokens: DataFrame, index: DataFrame, window: int) -> DataFrame:
@@ -49,8 +58,7 @@ def rarest_terms(tokens: DataFrame, index: DataFrame, window: int) -> DataFrame:
     Windows with a term that no document holds are left out. Windows with the same two
     terms at the same places are one row, from the first place to the last.
     """
-    counts = index.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("freq"))
-    known = tokens.join(counts, "term", "left").select("item_key", "n", "ipos", "term", F.coalesce("freq", F.lit(0)).alias("freq"))
+    known = tokens.join(frequencies(index, tokens), "term", "left").select("item_key", "n", "ipos", "term", F.coalesce("freq", F.lit(0)).alias("freq"))
     # A token at ipos stands in the windows that begin from ipos - window + 1 to ipos.
     begins = F.sequence(F.greatest(F.lit(0), F.col("ipos") - window + 1), F.greatest(F.lit(0), F.least(F.col("ipos"), F.col("n") - window)))
     in_window = known.select("item_key", F.explode(begins).alias("begin"), F.struct("freq", "ipos", "term").alias("t"))
@@ -75,7 +83,7 @@ def phrase_matches(index: DataFrame, tokens: DataFrame, *, window: int = WINDOW_
     of at least ``window`` places in a row, or of a whole shorter item, is a match.
     """
     anchors = materialize(rarest_terms(tokens, index, window), "anchors")
-    postings = index.where("term IS NOT NULL").select("row_id", "pos", "term")
+    postings = index.join(sized(tokens.select("term").distinct()), "term", "left_semi").select("row_id", "pos", "term")
     rarest = sized(anchors.select("item_key", "p0", F.col("t0").alias("term"), "p1", "t1", "lo", "hi"))
     begun = postings.join(rarest, "term").withColumn("offset", F.col("pos") - F.col("p0"))
     begun = begun.select("row_id", "item_key", "offset", "p1", F.col("t1").alias("term"), (F.col("offset") + F.col("p1")).alias("pos"), "lo", "hi")
@@ -98,33 +106,38 @@ def phrase_matches(index: DataFrame, tokens: DataFrame, *, window: int = WINDOW_
     return runs.where(F.col("n") >= F.least(F.col("n_item"), F.lit(window))).select("row_id", "item_id", "first_pos", "n")
 
 
-def proximity_matches(index: DataFrame, tokens: DataFrame, *, slop: int = 8, share: float = 0.8) -> DataFrame:
+def proximity_matches(index: DataFrame, tokens: DataFrame, *, slop: int = SLOP, share: float = SHARE) -> DataFrame:
     """(row_id, item_id, first_pos, last_pos, n_terms): items whose terms stand close, in any order.
 
     Around a posting of one of an item's rarest terms, within the item's length plus
     ``slop`` words to either side, at least ``share`` of the item's distinct terms occur.
     One more term is tried than may be missing, terms without postings included, so that
-    one of them stands in every match. Rows that hold too few of the terms anywhere go first.
+    one of them stands in every match. Rows that hold too few of the terms anywhere go
+    first; then places meet by bands of a window's length, so that long texts cost in
+    proportion to their postings.
     """
-    counts = index.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("freq"))
     terms = tokens.select("item_key", "term").distinct()
     least = F.ceil(F.lit(share) * F.col("wanted"))
     sizes = tokens.groupBy("item_key", "item_id", "n").agg(F.count_distinct("term").alias("wanted")).withColumn("least", least)
     rarity = Window.partitionBy("item_key").orderBy("freq", "term")
-    ranked = terms.join(counts, "term", "left").select("item_key", "term", F.coalesce("freq", F.lit(0)).alias("freq")).withColumn("at", F.row_number().over(rarity))
-    seeds = materialize(ranked.join(sizes, "item_key").where(F.col("at") <= F.col("wanted") - F.col("least") + 1).select("item_key", "n", "term"), "rarest")
+    ranked = terms.join(frequencies(index, tokens), "term", "left").select("item_key", "term", F.coalesce("freq", F.lit(0)).alias("freq")).withColumn("at", F.row_number().over(rarity))
+    marked = ranked.join(sizes, "item_key").select("item_key", "term", (F.col("at") <= F.col("wanted") - F.col("least") + 1).alias("rare"))
+    marked = materialize(marked, "rarest")
     postings = index.where("term IS NOT NULL").select("row_id", "pos", "term")
-    held = postings.select("row_id", "term").distinct()
-    tried = held.join(sized(seeds.select("item_key", "term")), "term").select("row_id", "item_key").distinct()
+    seeds = marked.where("rare").select("item_key", "term")
+    begun = postings.join(sized(seeds.select("term").distinct()), "term", "left_semi").select("row_id", "term").distinct()
+    tried = begun.join(sized(seeds), "term").select("row_id", "item_key").distinct()
+    held = postings.join(sized(terms.select("term").distinct()), "term", "left_semi").select("row_id", "term").distinct()
     enough = tried.join(sized(terms), "item_key").join(held, ["row_id", "term"]).groupBy("row_id", "item_key").agg(F.count("*").alias("n_held"))
-    both = enough.join(sized(sizes.select("item_key", "item_id", "n", "wanted", "least")), "item_key").where(F.col("n_held") >= F.col("least"))
-    both = materialize(both.select("row_id", "item_key", "item_id", "n", "least"), "rows")
+    both = enough.join(sized(sizes.select("item_key", "item_id", "n", "least")), "item_key").where(F.col("n_held") >= F.col("least"))
+    both = materialize(both.select("row_id", "item_key", "item_id", "least", (F.col("n") + slop).alias("reach")), "rows")
     near = postings.join(sized(both.select("row_id").distinct()), "row_id", "left_semi")
-    begun = both.join(sized(seeds.select("item_key", "term")), "item_key").join(near, ["row_id", "term"])
-    begun = materialize(begun.select("row_id", "item_key", "item_id", "n", "least", F.col("pos").alias("at")), "seeds")
-    pairs = begun.join(sized(terms), "item_key").join(near, ["row_id", "term"])
+    placed = both.join(sized(marked), "item_key").join(near, ["row_id", "term"]).withColumn("band", F.expr("pos div reach"))
+    placed = materialize(placed.select("row_id", "item_key", "item_id", "least", "reach", "term", "rare", "pos", "band"), "places")
+    around = placed.where("rare").select("row_id", "item_key", F.col("pos").alias("at"), F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"))
     return (
-        pairs.where(F.abs(F.col("pos") - F.col("at")) < F.col("n") + slop)
+        placed.join(around, ["row_id", "item_key", "band"])
+        .where(F.abs(F.col("pos") - F.col("at")) < F.col("reach"))
         .groupBy("row_id", "item_key", "item_id", "least", "at")
         .agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count_distinct("term").alias("n_terms"))
         .where(F.col("n_terms") >= F.col("least"))
@@ -133,22 +146,24 @@ def proximity_matches(index: DataFrame, tokens: DataFrame, *, slop: int = 8, sha
     )
 
 
-def proximity(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", slop: int = 8, share: float = 0.8) -> DataFrame:
-    """The id, n_words, n_near_items and near_items_sha256 of every row of ``docs``, by ``proximity_matches``.
+def proximity_of(index: DataFrame, matches: DataFrame) -> DataFrame:
+    """(row_id, n_near_items, near_items_sha256) of rows with near items; a null item id is not counted."""
+    ids = matches.groupBy("row_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    return ids.select("row_id", F.size("ids").cast("long").alias("n_near_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("near_items_sha256"))
+
+
+def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", window: int = WINDOW_WORDS, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+    """The columns of ``contamination``, and n_near_items and near_items_sha256 by ``proximity_matches``, from one index.
 
-    A null item id is not counted. Rows, null texts and items are treated as by ``contamination``.
+    Rows, nulls, repeats and empty tables are treated as by ``contamination``; a null item
+    id is not counted among near items either.
     """
     tokens = item_tokens(items, item_col=item_col, text_col=text_col)
-    index = build_index(docs, tokens.select("term").distinct(), id_col=id_col, text_col=text_col)
-    met = proximity_matches(index, tokens, slop=slop, share=share)
-    ids = met.groupBy("row_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    ids_or_none = F.coalesce("ids", F.array().cast("array<string>"))
-    return index.where("term IS NULL").join(ids, "row_id", "left").select(
-        F.col("doc_id").alias(id_col),
-        F.col("pos").cast("long").alias("n_words"),
-        F.size(ids_or_none).cast("long").alias("n_near_items"),
-        F.sha2(F.concat_ws(",", ids_or_none), 256).alias("near_items_sha256"),
-    )
+    index = build_index(docs, id_col=id_col, text_col=text_col)
+    exact = contamination_of(index, phrase_matches(index, tokens, window=window), id_col="doc_id", keep=["row_id"])
+    near = proximity_of(index, proximity_matches(index, tokens, slop=slop, share=share))
+    out = exact.join(near, "row_id", "left").drop("row_id").withColumnRenamed("doc_id", id_col)
+    return out.withColumns({"n_near_items": F.coalesce("n_near_items", F.lit(0)), "near_items_sha256": F.coalesce("near_items_sha256", F.sha2(F.lit("").cast("binary"), 256))})
 
 
 def contamination(
@@ -170,11 +185,11 @@ def contamination(
     the result is empty. Other columns are not read. No text goes through a shuffle.
     """
     tokens = item_tokens(items, item_col=item_col, text_col=text_col)
-    index = build_index(docs, tokens.select("term").distinct(), id_col=id_col, text_col=text_col)
+    index = build_index(docs, id_col=id_col, text_col=text_col)
     return contamination_of(index, phrase_matches(index, tokens, window=window), id_col=id_col)
 
 
-def contamination_of(index: DataFrame, matches: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def contamination_of(index: DataFrame, matches: DataFrame, *, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     matches = materialize(matches, "matches")
     words = matches.select("row_id", F.explode(F.expr("sequence(first_pos, first_pos + n - 1)")).alias("pos")).distinct()
     hits = words.groupBy("row_id").agg(F.count("*").alias("n_hit"))
@@ -185,6 +200,7 @@ def contamination_of(index: DataFrame, matches: DataFrame, *, id_col: str = "doc
         .select("row_id", "doc_id", F.col("pos").cast("long").alias("n_words"))
         .join(hits.join(ids, "row_id"), "row_id", "left")
         .select(
+            *keep,
             F.col("doc_id").alias(id_col),
             "n_words",
             n_hit.alias("n_hit"),
@@ -196,9 +212,15 @@ def contamination_of(index: DataFrame, matches: DataFrame, *, id_col: str = "doc
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id isn't that of a contaminated document."""
-    found = contamination(docs, items, id_col=id_col, text_col=text_col).where("contaminated").select(id_col).distinct()
-    return docs.join(sized(materialize(found, "contaminated")), id_col, "left_anti").select(docs.columns)
+    """The rows of ``docs`` that aren't contaminated, each judged by its own text.
+
+    Null and repeated ids do no harm; null and empty texts stay. All columns stay, whatever
+    their names; without items every row stays, and an empty table gives an empty result.
+    """
+    row = free_name(docs, "row_of_docs")
+    tagged = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
+    found = contamination(tagged.select(row, F.col(text_col).alias("text")), items, id_col=row).where("contaminated").select(row)
+    return tagged.join(sized(materialize(found, "contaminated")), row, "left_anti").select(docs.columns)
 
 
 WORDS_SQL = (
@@ -207,7 +229,7 @@ WORDS_SQL = (
 )
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
-b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+b AS (SELECT row_number() OVER () AS item, item_id, {WORDS_SQL} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
 win AS (
   SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g
   FROM (SELECT item_id, w, least({WINDOW_WORDS}, len(w)) AS k, unnest(range(1, greatest(len(w) - {WINDOW_WORDS} + 1, 1) + 1)) AS s FROM b WHERE len(w) > 0)
@@ -216,9 +238,20 @@ placed AS (SELECT r, k, s, array_to_string(w[s:s + k - 1], ' ') AS g FROM (
   SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
 m AS (SELECT r, s, win.k, item_id FROM placed JOIN win ON placed.g = win.g AND placed.k = win.k),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM m) GROUP BY r),
-ids AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM m GROUP BY r)
+ids AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM m GROUP BY r),
+post AS (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+bt AS (SELECT DISTINCT item, len(w) + {SLOP} AS reach, len(list_distinct(w)) AS wanted, unnest(w) AS term FROM b),
+f AS (SELECT term, count(*) AS freq FROM post GROUP BY term),
+ranked AS (SELECT item, reach, term, ceil({SHARE} * wanted) AS least, row_number() OVER (PARTITION BY item ORDER BY coalesce(freq, 0), term) <= wanted - ceil({SHARE} * wanted) + 1 AS rare
+  FROM bt LEFT JOIN f USING (term)),
+held AS (SELECT r, item FROM (SELECT DISTINCT r, term FROM post) JOIN ranked USING (term) GROUP BY r, item, least HAVING count(*) >= least),
+spots AS (SELECT r, item, reach, least, rare, term, pos FROM post JOIN ranked USING (term) SEMI JOIN held USING (r, item)),
+close AS (SELECT DISTINCT r, item FROM (SELECT a.r, a.item FROM spots a JOIN spots z ON a.r = z.r AND a.item = z.item AND abs(a.pos - z.pos) < a.reach
+  WHERE a.rare GROUP BY a.r, a.item, a.pos, a.least HAVING count(DISTINCT z.term) >= a.least)),
+nears AS (SELECT r, count(DISTINCT item_id) AS n_near, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS near FROM close JOIN b USING (item) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near_items, sha256(coalesce(near, '')) AS near_items_sha256
+FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r) LEFT JOIN nears USING (r)
 """

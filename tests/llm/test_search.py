@@ -136,14 +136,17 @@ def test_decontamination(spark, docs, rows, items, none, monkeypatch, most):
     if most:
         assert D.contamination(none, bench).count() == 0
         assert not any(r.contaminated for r in D.contamination(docs, bench.limit(0)).collect())
-        dirty = {r[0] for r in brute(rows, items) if r[-1]}
-        assert {r.doc_id for r in D.keep_clean(docs, bench).collect()} == {i for i, _ in rows if i not in dirty}
+        more = [(None, dict(rows)[60]), (None, dict(rows)[60]), (60, "a clean text"), (None, "another clean one")]
+        clean = [(-1 if i is None else i, t) for i, t in [*rows, *more] if not brute([(i, t)], items)[0][-1]]
+        every = docs.union(spark.createDataFrame([(i, t, "k", 0, 1.5, "w") for i, t in more], docs.schema))
+        assert rows_of(D.keep_clean(every, bench).na.fill({"text": "-"}), "doc_id", "text") == sorted((i, "-" if t is None else t) for i, t in clean)
+        assert len(clean) < len(rows) + len(more) and D.keep_clean(none, bench).count() == 0
 
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x alpha gamma y beta delta z"), (2, "alpha " + "pad " * 40 + "beta gamma delta"), (3, None)], "doc_id long, text string")
     tokens = D.item_tokens(spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string"))
-    index = D.build_index(docs, tokens.select("term").distinct())
+    index = D.build_index(docs)
     found = D.proximity_matches(index, tokens, slop=3, share=1.0)
     ids = index.where("term IS NULL").select("row_id", "doc_id")
     assert {(r.doc_id, r.item_id) for r in found.join(ids, "row_id").collect()} == {(1, 7)}
@@ -153,6 +156,6 @@ def test_proximity_without_the_rarest_term(spark):
     item = "one two three four five six seven eight nine ten"
     texts = [(1, item.replace("ten", "x")), (2, "y " + item.replace("one", "a").replace("five", "b")), (3, item.replace("one", "a").replace("two", "b").replace("six", "c")), (4, "ten"), (5, None), (None, item)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = D.proximity(docs, spark.createDataFrame([(7, item), (8, "alpha beta gamma delta epsilon"), (9, None)], "item_id long, text string")).collect()
+    got = D.scan(docs, spark.createDataFrame([(7, item), (8, "alpha beta gamma delta epsilon"), (9, None)], "item_id long, text string")).collect()
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert sorted((r.doc_id or 0, r.n_near_items, r.near_items_sha256 == sha("7")) for r in got) == [(0, 1, True), (1, 1, True), (2, 1, True), (3, 0, False), (4, 0, False), (5, 0, False)]

@@ -72,6 +72,44 @@ def test_held_out_accuracy(spark, labelled, docs, none):
     assert kept == {r.doc_id for r in got if not r.predicted}
 
 
+def test_scores_by_brute_force(spark, labelled):
+    """Every score from all terms against all words, without trie, automaton or memory."""
+    import math
+    import re
+
+    rows, labels, _ = labelled
+    model = X.fit(rows, labels)
+    near = [i for i, (t, w) in enumerate(zip(model.terms, model.weights)) if len(t) >= X.MIN_FUZZY and w[1] > 0]
+    texts = [r.text for r in rows.limit(60).collect()] + ["", None, 'he said "you grobnk" and left', "a" * 5000 + " grobnik " + "zlufferx" * 9, "GROBNIK vexlp mandraKe" * 3]
+
+    def match(word):
+        exact = [(-len(t), i) for i, t in enumerate(model.terms) if word.startswith(t)]
+        if exact:
+            return min(exact)[1], 0
+        close = min(((prefix_distance(model.terms[i], word[:80]), -len(model.terms[i]), k) for k, i in enumerate(near)), default=(9,))
+        return (near[close[2]], 1) if close[0] == 1 else None
+
+    def score(text):
+        data = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        spans = [(m.group(), *m.span()) for m in re.finditer("[0-9a-z\x80-\U0010ffff]+", data)]
+        values = []
+        for i, (word, begin, end) in enumerate(spans):
+            if found := match(word):
+                around = spans[max(0, i - 6) : i + 7]
+                quoted = X.between_quotes(data[around[0][1] : begin], data[end : around[-1][2] + 4]) or any(w in X.REPORTING for w, _, _ in around)
+                value = model.weights[found[0]][found[1]] * (model.quoted if quoted else 1.0)
+                if value > 0:
+                    values.append((value, found[0]))
+        f = [max(v for v, _ in values), math.log1p(len({t for _, t in values})), math.log1p(len(values))] if values else [0.0] * 3
+        z = model.coefficients[0] + sum(a * b for a, b in zip(model.coefficients[1:], f))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    got = X.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    want = [score(t) for t in texts]
+    assert all(abs(r.score - w) < 1e-9 and r.predicted == (w >= 0.3) for r, w in zip(got, want))
+    assert len(set(want)) > 5
+
+
 def test_without_labels(docs, labelled, none):
     _, labels, _ = labelled
     assert {r.predicted for r in X.toxicity(docs, labels.limit(0)).collect()} == {0}
