@@ -13,6 +13,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 LOCAL_SHARED = "/tmp/checkpoints/quillspan"
 
 
+#: The most buckets that Spark lets a table have by default.
+MAX_BUCKETS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
