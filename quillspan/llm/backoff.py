@@ -22,17 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.text import arrow_schema
-from quillspan.session import bucketed
+from quillspan.session import MAX_BUCKETS, bucketed
 
 #: The longest n-grams; those that no other document holds back off to one word less, at this factor.
 ORDER = 3
 FACTOR = 0.4
 #: Words of the documents of a block; whole documents go into it, so that the last one may exceed it.
 BLOCK = 1 << 19
-#: Distinct n-grams, summed over blocks, that a bucket holds on average.
-BUCKET = 1 << 19
+#: Words of the corpus, or distinct words summed over blocks, for each bucket of n-grams.
+BUCKET = 1 << 20
 #: Bytes of text whose blocks one task joins to their answers.
-TASK = 64 << 20
+TASK = 16 << 20
 
 REQUEST = "kind int, bucket long, block long, n int, keys binary, counts binary"
 ANSWER = "block long, bucket long, n int, last long, counts binary"
@@ -186,8 +186,11 @@ def answers(asked: DataFrame, kind: int, buckets: int, tasks: int) -> DataFrame:
             sums.append(total)
         last = 0
         if kind == 1:
-            sums.append(1 + bucket + buckets * np.arange(len(sums[0])))
-            last = int(sums[-1][-1])
+            # Frequent words get small numbers, which take less room in longer n-grams.
+            numbers = np.empty(len(sums[0]), dtype=np.int64)
+            numbers[np.argsort(-sums[0], kind="stable")] = 1 + bucket + buckets * np.arange(len(numbers))
+            sums.append(numbers)
+            last = int(numbers.max())
         at = 0
         for r in held:
             yield r["block"], bucket, r["n"], last, pack([s[place[at : at + r["n"]]] for s in sums])
@@ -348,7 +351,7 @@ def backoff_scores(
     columns = {"id_col": id_col, "text_col": text_col}
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = docs.sparkSession.sparkContext.defaultParallelism
-    tasks = int(max(2 * least, 1 + n_bytes // TASK))
+    tasks = int(min(MAX_BUCKETS, max(2 * least, 1 + n_bytes // TASK)))
     blocks = bucketed(block_table(docs, **columns, block=block), "blocks", "block", tasks)
     n_keys, n_docs, n_tokens = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_docs"), F.sum("n_tokens")).first())
     buckets = {k: int(max(least, 1 + (n_keys if k == 1 else n_tokens) // bucket)) for k in range(1, order + 1)}
