@@ -16,8 +16,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Entries that the queues of one scan hold in memory, and symbols of a reduced text that is sorted there.
+#: Entries that the queues of one scan hold in memory; the rest is on disk.
 MEMORY = 200_000
+#: Symbols of a reduced text that is sorted in memory; a longer one is induced like the text it stands for.
+REDUCED = 1 << 20
 #: Entries that a scan takes at once.
 BATCH = 1 << 17
 FAR = np.int32(1 << 30)
@@ -33,7 +35,7 @@ class BucketQueues:
         self.on_disk: set[int] = set()
 
     def push(self, symbol: int, entries: np.ndarray) -> None:
-        self.chunks.setdefault(symbol, []).append(entries)
+        self.chunks.setdefault(symbol, []).append(entries.astype(np.int32))
         self.held += len(entries)
         if self.held > self.memory:
             for s, parts in self.chunks.items():
@@ -51,7 +53,7 @@ class BucketQueues:
         if symbol in self.on_disk:
             self.on_disk.discard(symbol)
             os.rename(path, path + ".taken")
-            parts = [np.memmap(path + ".taken", dtype=np.int64, mode="r").reshape(-1, 2), *parts]
+            parts = [np.memmap(path + ".taken", dtype=np.int32, mode="r").reshape(-1, 2), *parts]
         waiting: list[np.ndarray] = []
         size = 0
         for part in reversed(parts) if backwards else parts:
@@ -243,7 +245,7 @@ def sort_in_memory(text: np.ndarray, longest: int) -> np.ndarray:
     return order
 
 
-def sorted_seeds(text: np.ndarray, small: np.ndarray, symbols: np.ndarray, folder: str, cap: int, memory: int) -> np.ndarray:
+def sorted_seeds(text: np.ndarray, small: np.ndarray, symbols: np.ndarray, folder: str, cap: int, memory: int, reduced: int) -> np.ndarray:
     """Leftmost S-type places in the order of their suffixes, by naming and, if names repeat, recursion."""
     seeds = starts_of_rises(small)
     if len(seeds) < 2:
@@ -269,23 +271,23 @@ def sorted_seeds(text: np.ndarray, small: np.ndarray, symbols: np.ndarray, folde
     del number, is_seed
     if new.all():
         return order
-    if len(names) <= memory:
+    if len(names) <= reduced:
         return seeds[sort_in_memory(names, cap)]
     inner = types(names)
     kinds = np.unique(names)
-    upper = sorted_seeds(names, inner, kinds, folder, cap, memory)
+    upper = sorted_seeds(names, inner, kinds, folder, cap, memory, reduced)
     parts: list[np.ndarray] = []
     induce(names, inner, upper, kinds, lambda p, _: parts.append(p), folder, memory=memory)
     return seeds[np.concatenate(parts)[::-1]]
 
 
-def repeats(text: np.ndarray, length: int, folder: str, *, memory: int = MEMORY) -> np.ndarray:
+def repeats(text: np.ndarray, length: int, folder: str, *, memory: int = MEMORY, reduced: int = REDUCED) -> np.ndarray:
     """For each place of ``text``, whether its ``length`` symbols also start at another place."""
     out = np.zeros(len(text), dtype=bool)
     if len(text) <= length:
         return out
     small, symbols = types(text), np.unique(text).astype(np.int64)
-    seeds = sorted_seeds(text, small, symbols, folder, length, memory)
+    seeds = sorted_seeds(text, small, symbols, folder, length, memory, reduced)
     prefixes = np.zeros(len(seeds), dtype=np.int64)
     if len(seeds) > 1:
         prefixes[1:] = common_prefixes(text, seeds[:-1], seeds[1:], length)

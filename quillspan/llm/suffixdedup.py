@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.decontaminate import sized
 from quillspan.llm.inducedsort import repeats
 from quillspan.llm.text import arrow_schema
-from quillspan.session import bucketed, materialize
+from quillspan.session import MAX_BUCKETS, bucketed, materialize
 
 LENGTH = 400
 #: Bytes of the grams of which each string of ``LENGTH`` bytes has a least one, its anchor.
@@ -30,7 +30,7 @@ PIECES = (128, 16, 1)
 #: Rows of a table of keys or digests up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 #: Bytes of a shard that is sorted at once (a single key may exceed it), and of a task.
-SHARD = 4 << 20
+SHARD = 2 << 20
 TASK = 16 << 20
 #: Starts that are looked at together, so that places fit in the low 20 bits.
 CHUNK = 1 << 19
@@ -38,7 +38,7 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 
 #: Bytes of the texts of a block, which stays in one place; bytes of the blocks that a task reads.
 BLOCK = 4 << 20
-BLOCKS_TASK = 64 << 20
+BLOCKS_TASK = 32 << 20
 
 RUNS = "block long, i int, start int, n int, anchor int, key long, content binary"
 
@@ -134,7 +134,7 @@ def text_blocks(docs: DataFrame, *, id_col: str, text_col: str) -> Blocks:
             yield row()
 
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    tasks = int(max(2 * docs.sparkSession.sparkContext.defaultParallelism, 1 + n_bytes // BLOCKS_TASK))
+    tasks = int(min(MAX_BUCKETS, max(2 * docs.sparkSession.sparkContext.defaultParallelism, 1 + n_bytes // BLOCKS_TASK)))
     return Blocks(bucketed(texts.mapInArrow(run, out), "texts", "block", tasks), tasks)
 
 
