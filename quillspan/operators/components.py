@@ -45,5 +45,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == seen or state[0] == 0:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components are not complete after {MAX_ROUNDS} rounds")
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

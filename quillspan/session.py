@@ -20,9 +20,11 @@ MAX_BUCKETS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = LOCAL_SHARED
-    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
