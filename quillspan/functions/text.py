@@ -196,3 +196,50 @@ def same_title(a: Column, b: Column, share: float = 0.75) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
+def document_text(title: Column, abstract: Column) -> Column:
+    """"Title. Abstract", or the title alone."""
+    rest = F.trim(F.coalesce(abstract, F.lit("")))
+    return F.when(rest == "", F.trim(title)).otherwise(F.concat(F.rtrim(F.trim(title), F.lit(".")), F.lit(". "), rest))
+
+
+def question_text(question: Column, background: Column) -> Column:
+    return F.trim(F.concat_ws(" ", F.trim(question), F.trim(background)))
+
+
+def confidence(purity: Column, least: float = 2 / 3) -> Column:
+    """clear or ambiguous by a topic's share; null without one."""
+    return F.when(purity.isNull(), None).when(purity >= least, "clear").otherwise("ambiguous")
+
+
+def reference_evidence(raw: Column, title: Column) -> dict[str, Column]:
+    """Years, surnames (capitalised words before a comma) and words outside the title of a reference."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
+    return {
+        "years": F.array_distinct(F.regexp_extract_all(raw, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))),
+        "surnames": F.array_distinct(F.regexp_extract_all(raw, F.lit("([A-Z][a-z]+),"), F.lit(1))),
+        "venue_words": F.array_except(words(raw), words(title)),
+    }
+
+
+def locator(c: Column) -> dict[str, Column]:
+    """Head, volume, first page and year of "Head 12, 345-350 (1999)"; empty strings where it isn't one."""
+    pattern = r"^(.*) ([0-9]+), ([0-9]+)(?:-[0-9]+)? \(([0-9]{4})\)$"
+    return {name: F.regexp_extract(c, pattern, i) for i, name in enumerate(("head", "volume", "page", "year"), 1)}
+
+
+def missing_levels(block: Column, levels: list[str]) -> Column:
+    """The levels that have no "level: text" line in a block."""
+    return F.filter(words_in(levels), lambda x: ~F.exists(F.split(block, "\n"), lambda line: F.rlike(F.lower(line), F.concat(F.lit("^\\s*"), x, F.lit("\\s*:\\s*\\S")))))
+
+
+def echoes(block: Column, background: Column, least: int = 20) -> Column:
+    """Whether a line of a block, of ``least`` characters, stands in the background as it is."""
+    lines = F.filter(F.split(norm_lines(block), "\n"), lambda x: F.length(x) >= least)
+    return F.exists(lines, lambda x: F.contains(norm_space(background), x))
+
+
+def norm_lines(c: Column) -> Column:
+    """Lower case, blanks within lines collapsed, lines trimmed."""
+    return F.array_join(F.transform(F.split(c, "\n"), lambda x: norm_space(x)), "\n")

@@ -61,18 +61,6 @@ def slice_means(rows: DataFrame, slices: Column, metrics: list[str]) -> DataFram
     return rows.withColumn("slice", F.explode(slices)).groupBy("slice").agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in metrics))
 
 
-def upper_median(c: str) -> Column:
-    """The element in the middle of the sorted values, the upper one of two."""
-    values = F.sort_array(F.collect_list(c))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
-
-
-def upper_quantile(c: str, q: float) -> Column:
-    """The sorted value at place int(q * n)."""
-    values = F.sort_array(F.collect_list(c))
-    return F.element_at(values, F.floor(F.size(values) * q).cast("int") + 1)
-
-
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of a share's confidence interval."""
     p = hits / n
@@ -103,20 +91,26 @@ def auroc(rows: DataFrame, score: str, positive: str, key: str) -> DataFrame:
     return r.groupBy(key).agg(F.when((p > 0) & (n > 0), top / (p * n)).alias("auroc"))
 
 
+def poisson_steps(n: int = 12) -> list[float]:
+    """The chances that a Poisson(1) number is at most 0, 1, 2, ..."""
+    out, total, weight = [], 0.0, math.exp(-1)
+    for i in range(n):
+        total += weight
+        weight /= i + 1
+        out.append(total)
+    return out
+
+
 def bootstrap_differences(pairs: DataFrame, replicates: int, seed: int = 13) -> DataFrame:
     """(replicate, mean_diff) of resampled pairs (key, diff).
 
-    Each pair is drawn a Poisson(1) number of times, by a hash of the seed, the replicate
+    Each pair is drawn a Poisson(1) number of times, by a digest of the seed, the replicate
     and the key, so that draws neither depend on the partitions nor need the rows together.
     """
     drawn = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", "key"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    below, total, weight = [], 0.0, math.exp(-1)
-    for i in range(12):
-        total += weight
-        weight /= i + 1
-        below.append(total)
-    times = reduce(lambda a, b: a + b, ((u > p).cast("int") for p in below))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("key").cast("string")))
+    u = (F.conv(F.substring(digest, 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
+    times = reduce(lambda a, b: a + b, ((u > p).cast("int") for p in poisson_steps()))
     return drawn.withColumn("t", times).groupBy("replicate").agg((F.sum(F.col("t") * F.col("diff")) / F.greatest(F.sum("t"), F.lit(1))).alias("mean_diff"))
 
 

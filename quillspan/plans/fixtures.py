@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.vectors import dot
+from quillspan.operators.dense import nearest
 from quillspan.operators.ranking import rank_by
 from quillspan.session import read_table
 
@@ -22,7 +23,9 @@ def dense_sims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_run(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
-    return rank_by(dense_sims(spark, d), k)
+    """The first ``k`` of each query, by products of blocks."""
+    docs = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return nearest(dense_queries(spark, d).select(F.col("query_id").alias("id"), F.col("q").alias("v")), docs, k, same=True)
 
 
 def dense_qrels(spark: SparkSession, d: str) -> DataFrame:

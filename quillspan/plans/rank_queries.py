@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import tokens_alnum, tokens_alpha
 from quillspan.functions.text import RETRIEVAL_STOP
+from quillspan.operators import evaluation as E
 from quillspan.operators import metrics as M
 from quillspan.operators import ranking as R
 from quillspan.operators import retrieval as V
 from quillspan.plans import fixtures as X
 from quillspan.plans.registry import query
-from quillspan.session import read_table
+from quillspan.session import materialize, read_table
 
 DENSE = "WITH " + X.DENSE_SQL
 
@@ -231,7 +232,11 @@ def f07_auroc(spark, d):
 
 @query("""SELECT event_type, count(*) AS n, min(value) AS low, list_sort(list(value))[floor(count(*) / 2)::INT + 1] AS mid, list_sort(list(value))[floor(count(*) * 0.9)::INT + 1] AS p90, max(value) AS high FROM events GROUP BY event_type""")
 def d06_upper_quantiles(spark, d):
-    return read_table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), M.upper_median("value").alias("mid"), M.upper_quantile("value", 0.9).alias("p90"), F.max("value").alias("high"))
+    e = read_table(spark, d, "events").select("event_type", "value")
+    out = e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    for name, share in (("mid", 0.5), ("p90", 0.9)):
+        out = out.join(E.nth_value(e, ["event_type"], "value", share).withColumnRenamed("value", name), "event_type")
+    return out
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95, round(stddev_pop(value), 6) AS dev FROM events GROUP BY event_type")
@@ -270,14 +275,24 @@ def h18_ratings(spark, d):
     return spark.createDataFrame(M.bradley_terry(games), "arm string, rating double")
 
 
-@query()
+POISSON = " + ".join(f"(u > {p})::INT" for p in M.poisson_steps())
+
+
+@query(VIEW_SQL + f""", brun AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) AS rank FROM sig) WHERE rank <= 100),
+  n AS (SELECT query_id, count(*) AS n FROM qrels GROUP BY query_id),
+  ap AS (SELECT arm, query_id, sum(nth::DOUBLE / rank) AS s FROM (SELECT *, row_number() OVER (PARTITION BY arm, query_id ORDER BY rank) AS nth FROM (SELECT 'a' AS arm, query_id, doc_id, rank FROM run UNION ALL SELECT 'b', query_id, doc_id, rank FROM brun) JOIN qrels USING (query_id, doc_id)) GROUP BY ALL),
+  diffs AS (SELECT n.query_id AS key, coalesce(b.s, 0) / n - coalesce(a.s, 0) / n AS diff FROM n LEFT JOIN ap a ON a.query_id = n.query_id AND a.arm = 'a' LEFT JOIN ap b ON b.query_id = n.query_id AND b.arm = 'b'),
+  us AS (SELECT replicate, diff, (('0x' || substr(md5('13:' || replicate || ':' || key), 1, 10))::BIGINT + 0.5) / 1099511627776.0::DOUBLE AS u FROM diffs, (SELECT unnest(range(1000)) AS replicate)),
+  ms AS (SELECT replicate, sum(t * diff) / greatest(sum(t), 1) AS m FROM (SELECT replicate, diff, {POISSON} AS t FROM us) GROUP BY replicate)
+  SELECT round(list_sort(list(m))[1 + 25], 6) AS low, round(list_sort(list(m))[1 + 975], 6) AS high, count(*) AS replicates FROM ms""")
 def h16_bootstrap(spark, d):
     """Bounds of the mean difference of two runs' average precision."""
     a = dense_metrics(spark, d).select("query_id", F.col("map").alias("a"))
     run = R.rank_by(signals(spark, d).select("query_id", "doc_id", F.col("total").alias("score")), 100)
     b = M.per_query(run, X.dense_qrels(spark, d)).select("query_id", F.col("map").alias("b"))
-    means = M.bootstrap_differences(a.join(b, "query_id").select(F.col("query_id").alias("key"), (F.col("b") - F.col("a")).alias("diff")), 1000)
-    return means.agg(F.round(M.upper_quantile("mean_diff", 0.025), 6).alias("low"), F.round(M.upper_quantile("mean_diff", 0.975), 6).alias("high"), F.count("*").alias("replicates"))
+    means = materialize(M.bootstrap_differences(a.join(b, "query_id").select(F.col("query_id").alias("key"), (F.col("b") - F.col("a")).alias("diff")), 1000), "replicates")
+    low, high = (E.nth_value(means.select("mean_diff"), [], "mean_diff", q).select(F.round("mean_diff", 6).alias(name)) for q, name in ((0.025, "low"), (0.975, "high")))
+    return low.crossJoin(high).crossJoin(means.agg(F.count("*").alias("replicates")))
 
 
 @query(DENSE + """, c AS (SELECT k, query_id, count(q.doc_id) AS hits FROM run CROSS JOIN (SELECT unnest([1, 5, 10, 20, 50, 100]) AS k) LEFT JOIN qrels q USING (query_id, doc_id) WHERE rank <= k GROUP BY ALL),

@@ -188,7 +188,7 @@ def a20_stratified(spark, d):
     return stratified(T(spark, d, "customer"), "c_mktsegment", 20, whole=("BUILDING",), key="c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
 def a19_nested_sample(spark, d):
     """A hundred documents in the order of a seeded hash; smaller samples are its beginnings."""
     return first_by_hash(T(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100, seed=7)

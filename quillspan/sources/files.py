@@ -71,15 +71,45 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         df.sort(*df.columns).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any store that Spark reads."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the table at ``path`` doesn't have; a job that is run again adds nothing twice."""
     spark = df.sparkSession
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
+    if exists(spark, path):
         df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
     df.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
+def ensure_table(spark: SparkSession, path: str, build, *, force: bool = False) -> DataFrame:
+    """The table at ``path``; ``build`` makes it if it isn't there, or if forced."""
+    if force or not exists(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_array(rows: DataFrame, path: str) -> None:
+    """One JSON array of all rows, for readers of small exports; the rows of one file come together in one task."""
+    line = F.to_json(F.struct(*rows.columns))
+    rows.select(line.alias("line")).coalesce(1).groupBy().agg(F.concat(F.lit("["), F.array_join(F.collect_list("line"), ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def export(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Write every table under its name, and return the manifest (name, n_rows), which is written last."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    counts = [spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name in tables]
+    manifest = counts[0]
+    for c in counts[1:]:
+        manifest = manifest.unionByName(c)
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, n_bytes, sha256) of files, for comparison with a manifest."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
