@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.vectors import dot
-from quillspan.session import materialize
+from quillspan.session import MAX_BUCKETS, bucketed, materialize
 
 
 def with_inverse(edges: DataFrame) -> DataFrame:
@@ -29,38 +29,42 @@ def transitions(edges: DataFrame) -> DataFrame:
     return steps.withColumn("w", F.col("m") / F.sum("m").over(Window.partitionBy("src"))).drop("m")
 
 
-def random_walk(edges: DataFrame, seeds: DataFrame, *, steps: int = 3, restart: float = 0.15) -> DataFrame:
-    """(query_id, node, mass) after a walk from seeds (query_id, node), uniform over distinct ones.
+def walk(steps: DataFrame, seeds: DataFrame, rounds: int, restart: float, every: int = 5) -> DataFrame:
+    """(query_id, node, mass) of a walk over steps (src, dst, w) from seeds (query_id, node), uniform over distinct ones.
 
-    Transitions are written once and dealt by source; an iteration shuffles its state only.
+    Nodes are numbered. Steps lie in buckets by source, and the state is dealt out by node
+    in as many parts, so that a round shuffles the state once and the steps never. The
+    state is written every few rounds, so that neither the plan nor the work after a lost
+    executor grows with the rounds.
     """
-    p = materialize(transitions(edges), "transitions")
     start = seeds.distinct().withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy("query_id")))
+    names = steps.select(F.col("src").alias("node")).unionAll(steps.select(F.col("dst").alias("node"))).unionAll(seeds.select("node")).distinct()
+    names = materialize(names.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    number = lambda df, c: df.join(names.select(F.col("node").alias(c), F.col("number").alias(f"n_{c}")), c)
+    n_steps = steps.count()
+    parts = max(steps.sparkSession.sparkContext.defaultParallelism, min(MAX_BUCKETS, n_steps // 1_000_000))
+    p = number(number(steps, "src"), "dst").select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst"), "w")
+    p = bucketed(p.repartition(parts, "src"), "steps", "src", parts)
+    start = bucketed(number(start, "node").select("query_id", F.col("n_node").alias("node"), "mass").repartition(parts, "node"), "start", "node", parts)
     x = start
-    for _ in range(steps):
+    for i in range(1, rounds + 1):
         moved = x.join(p, x["node"] == p["src"]).select("query_id", F.col("dst").alias("node"), ((1 - restart) * F.col("mass") * F.col("w")).alias("mass"))
         back = start.select("query_id", "node", (restart * F.col("mass")).alias("mass"))
-        x = moved.unionByName(back).groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
-    return x
+        x = moved.unionByName(back).repartition(parts, "node").groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
+        if i % every == 0:
+            x = bucketed(x, "mass", "node", parts)
+    return x.withColumnRenamed("node", "number").join(names, "number").select("query_id", "node", "mass")
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int = 50, restart: float = 0.05, every: int = 5) -> DataFrame:
-    """(query_id, node, mass) of power iteration without loops or parallel edges.
+def random_walk(edges: DataFrame, seeds: DataFrame, *, steps: int = 3, restart: float = 0.15) -> DataFrame:
+    """(query_id, node, mass) after a few steps; parallel edges weigh more."""
+    return walk(transitions(edges), seeds, steps, restart)
 
-    A node without neighbours loses its mass. The state is written every few rounds, so
-    that neither the plan nor the work after a lost executor grows with the rounds.
-    """
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int = 50, restart: float = 0.05) -> DataFrame:
+    """(query_id, node, mass) of power iteration without loops or parallel edges; a node without neighbours loses its mass."""
     simple = both_ways(edges.where("src <> dst")).distinct()
-    p = materialize(simple.withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("src"))), "transitions")
-    start = materialize(seeds.distinct().withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy("query_id"))), "start")
-    x = start
-    for i in range(1, rounds + 1):
-        moved = x.join(p, x["node"] == p["src"]).select("query_id", F.col("dst").alias("node"), ((1 - restart) * F.col("mass") * F.col("w")).alias("mass"))
-        back = start.select("query_id", "node", (restart * F.col("mass")).alias("mass"))
-        x = moved.unionByName(back).groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
-        if i % every == 0:
-            x = materialize(x, "mass")
-    return x
+    return walk(simple.withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("src"))), seeds, rounds, restart)
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

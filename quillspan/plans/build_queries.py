@@ -167,25 +167,25 @@ def e14_boundaries(spark, d):
 @query(STEP_SQL + ", " + walk_sql(3, 0.15) + " SELECT query_id, node, round(m, 8) AS mass FROM x3 UNION ALL SELECT query_id + 100, node, round(m, 8) FROM x3")
 def e17_walk_prior(spark, d):
     """Two queries with each set of seeds; the walk is taken once a set."""
-    s = X.seeds(spark, d).select(F.col("query_id").cast("int").alias("query_id"), "node")
+    s = X.seeds(spark, d)
     twice = s.unionByName(s.select((F.col("query_id") + 100).alias("query_id"), "node"))
-    edges = X.small_edges(spark, d)
+    edges = X.edges(spark, d)
     return P.prior_by_seed_set(twice, lambda own: G.random_walk(edges, own)).withColumn("mass", F.round("mass", 8))
 
 
-@query(GRAPH + """, ends AS (SELECT src, dst FROM small UNION SELECT dst, src FROM small), p0 AS (SELECT DISTINCT query_id, node, [node] AS path FROM seeds),
+@query(GRAPH + """, ends AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), p0 AS (SELECT DISTINCT query_id, node, [node] AS path FROM seeds),
   n1 AS (SELECT query_id, dst AS node, min(list_append(path, dst)) AS path FROM p0 JOIN ends ON node = src WHERE (query_id, dst) NOT IN (SELECT query_id, node FROM p0) GROUP BY ALL), p1 AS (FROM p0 UNION ALL FROM n1),
   n2 AS (SELECT query_id, dst AS node, min(list_append(path, dst)) AS path FROM n1 JOIN ends ON node = src WHERE (query_id, dst) NOT IN (SELECT query_id, node FROM p1) GROUP BY ALL)
   SELECT query_id, node, array_to_string(path, ' > ') AS path FROM (FROM p1 UNION ALL FROM n2)""")
 def e19_shortest_paths(spark, d):
-    p = P.shortest_paths(X.small_edges(spark, d), X.seeds(spark, d), 2)
+    p = P.shortest_paths(X.edges(spark, d), X.seeds(spark, d), 2)
     return p.select("query_id", "node", F.array_join("path", " > ").alias("path"))
 
 
-@query(HOPS_SQL + ", g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM small UNION ALL SELECT dst FROM small) GROUP BY node) SELECT query_id, count(*) FILTER (hops <= 2) AS flood, round(avg((degree > 1)::INT) FILTER (hops = 0), 6) AS hub_share FROM h3 JOIN g USING (node) GROUP BY query_id")
+@query(HOPS_SQL + ", g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node) SELECT query_id, count(*) FILTER (hops <= 2) AS flood, round(avg((degree > 1)::INT) FILTER (hops = 0), 6) AS hub_share FROM h3 JOIN g USING (node) GROUP BY query_id")
 def h23_flood(spark, d):
     """How many nodes two hops reach, and how many seeds have several edges."""
-    e = X.small_edges(spark, d)
+    e = X.edges(spark, d)
     h = G.hops(e, X.seeds(spark, d), 3).join(G.degrees(e), "node")
     hub = F.avg(F.when(F.col("hops") == 0, (F.col("degree") > 1).cast("int")))
     return h.groupBy("query_id").agg(F.count_if(F.col("hops") <= 2).alias("flood"), F.round(hub, 6).alias("hub_share"))
@@ -200,14 +200,14 @@ def e27_information_gate(spark, d):
     return B.information_gate(v, v.where("id % 2 = 0")).withColumn("gate", F.round("gate", 5))
 
 
-@query(GRAPH + """, ends AS (SELECT src, dst FROM small UNION SELECT dst, src FROM small), b0 AS (SELECT DISTINCT query_id, node, [node] AS path, 0.0::DOUBLE AS total FROM seeds),
+@query(GRAPH + """, ends AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), b0 AS (SELECT DISTINCT query_id, node, [node] AS path, 0.0::DOUBLE AS total FROM seeds),
   m1 AS (SELECT query_id, dst AS node, list_append(path, dst) AS path, total + 1.0::DOUBLE / (1 + length(dst)) AS total FROM b0 JOIN ends ON node = src),
   b1 AS (SELECT * FROM m1 QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY round(total, 9) DESC, path) <= 2),
   m2 AS (SELECT query_id, dst AS node, list_append(path, dst) AS path, total + 1.0::DOUBLE / (2 + length(dst)) AS total FROM b1 JOIN ends ON node = src),
   b2 AS (SELECT * FROM m2 QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY round(total, 9) DESC, path) <= 2) SELECT query_id, node, array_to_string(path, ' > ') AS path, round(total / 2, 6) AS weight FROM b2""")
 def e30_beam_paths(spark, d):
     """The best two paths of two hops to each node, by mean edge weight."""
-    near = G.both_ways(X.small_edges(spark, d)).distinct()
+    near = G.both_ways(X.edges(spark, d)).distinct()
     layer = lambda i: near.select(F.lit(i).alias("layer"), "src", "dst", (1.0 / (i + F.length("dst"))).alias("w"))
     p = P.beam_paths(layer(1).unionByName(layer(2)), X.seeds(spark, d), 2, 2)
     return p.select("query_id", "node", F.array_join("path", " > ").alias("path"), F.round("weight", 6).alias("weight"))
@@ -253,7 +253,7 @@ def e60_path_weights(spark, d):
     return P.path_weights(hop_rows(spark, d), w).withColumn("weight", F.round("weight", 6))
 
 
-@query(GRAPH + """, raw AS (SELECT '[order] ' || l_orderkey AS src, 'contains' AS rel, '[part] ' || l_partkey AS dst FROM lineitem UNION ALL FROM small UNION ALL SELECT DISTINCT src, 'loop', src FROM small WHERE rel = 'in_region'),
+@query(GRAPH + """, raw AS (SELECT '[order] ' || l_orderkey AS src, 'contains' AS rel, '[part] ' || l_partkey AS dst FROM lineitem UNION ALL FROM edges UNION ALL SELECT DISTINCT src, 'loop', src FROM edges WHERE rel = 'in_region'),
   nodes AS (SELECT '[order] ' || o_orderkey AS node FROM orders UNION ALL SELECT '[part] ' || p_partkey FROM part UNION ALL SELECT '[customer] ' || c_custkey FROM customer UNION ALL SELECT '[nation] ' || n_nationkey FROM nation UNION ALL SELECT '[nation] ' || n_nationkey FROM nation WHERE n_nationkey < 3),
   golds AS (SELECT l_orderkey % 50 AS query_id, CASE WHEN l_quantity > 40 THEN '[part] x' ELSE '[part] ' || l_partkey END AS node FROM lineitem), ends AS (SELECT src AS node FROM raw UNION SELECT dst FROM raw), known AS (SELECT DISTINCT node FROM nodes),
   q AS (SELECT query_id, count(*) AS n, count(k.node) AS met FROM golds LEFT JOIN known k USING (node) GROUP BY query_id)
@@ -263,9 +263,9 @@ def e60_path_weights(spark, d):
 def e33_full_audit(spark, d):
     """A graph with repeats and loops, without the nodes of suppliers and regions."""
     t = lambda name: read_table(spark, d, name)
-    small = X.small_edges(spark, d)
-    raw = t("lineitem").select(named("order", "l_orderkey").alias("src"), F.lit("contains").alias("rel"), named("part", "l_partkey").alias("dst")).unionByName(small)
-    raw = materialize(raw.unionByName(small.where("rel = 'in_region'").select("src", F.lit("loop").alias("rel"), F.col("src").alias("dst")).distinct()), "raw")
+    edges = X.edges(spark, d)
+    raw = t("lineitem").select(named("order", "l_orderkey").alias("src"), F.lit("contains").alias("rel"), named("part", "l_partkey").alias("dst")).unionByName(edges)
+    raw = materialize(raw.unionByName(edges.where("rel = 'in_region'").select("src", F.lit("loop").alias("rel"), F.col("src").alias("dst")).distinct()), "raw")
     nodes = t("orders").select(named("order", "o_orderkey").alias("node"))
     for more in (t("part").select(named("part", "p_partkey")), t("customer").select(named("customer", "c_custkey")), t("nation").select(named("nation", "n_nationkey")), t("nation").where("n_nationkey < 3").select(named("nation", "n_nationkey"))):
         nodes = nodes.unionAll(more)

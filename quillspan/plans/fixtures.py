@@ -61,18 +61,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def small_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The part of the graph around suppliers, nations, regions and customers."""
-    return edges(spark, d).where("rel IN ('in_nation', 'in_region', 'supplied_by')")
-
-
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, node): one query a nation, its customers with a key that 10 divides."""
-    c = read_table(spark, d, "customer").where("c_custkey % 10 = 0")
-    return c.select(F.col("c_nationkey").alias("query_id"), F.concat(F.lit("[customer] "), F.col("c_custkey").cast("string")).alias("node"))
-
-
-def segment_seeds(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, node): one query a market segment, numbered by name from 0, all its customers."""
     c = read_table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.concat(F.lit("[customer] "), F.col("c_custkey").cast("string")).alias("node"))
     names = c.agg(F.array_sort(F.collect_set("segment")).alias("names"))
@@ -88,13 +77,12 @@ views AS (SELECT query_id, view, embedding AS v FROM (SELECT query_id, embedding
   FROM embeddings JOIN dq ON label = q_label WHERE vec_id > query_id) WHERE view <= 3)
 """
 EDGES_SQL = """
-edges AS (
+edges AS MATERIALIZED (
   SELECT '[customer] ' || o_custkey AS src, 'placed' AS rel, '[order] ' || o_orderkey AS dst FROM orders
   UNION SELECT '[order] ' || l_orderkey, 'contains', '[part] ' || l_partkey FROM lineitem
   UNION SELECT '[part] ' || l_partkey, 'supplied_by', '[supplier] ' || l_suppkey FROM lineitem
   UNION SELECT '[customer] ' || c_custkey, 'in_nation', '[nation] ' || c_nationkey FROM customer
   UNION SELECT '[supplier] ' || s_suppkey, 'in_nation', '[nation] ' || s_nationkey FROM supplier
   UNION SELECT '[nation] ' || n_nationkey, 'in_region', '[region] ' || n_regionkey FROM nation),
-small AS (SELECT * FROM edges WHERE rel IN ('in_nation', 'in_region', 'supplied_by')),
-seeds AS (SELECT c_nationkey AS query_id, '[customer] ' || c_custkey AS node FROM customer WHERE c_custkey % 10 = 0)
+seeds AS (SELECT dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS query_id, '[customer] ' || c_custkey AS node FROM customer WHERE c_mktsegment IS NOT NULL)
 """

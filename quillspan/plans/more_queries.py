@@ -71,17 +71,17 @@ def e11_start_masks(spark, d):
 @query(HOPS_SQL + """SELECT query_id, CASE WHEN hops = 0 THEN 'seed' WHEN kind = 'nation' AND hops = 1 THEN 'direct' WHEN kind = 'region' THEN 'field' WHEN kind = 'supplier' THEN 'shared_place' WHEN kind = 'customer' THEN 'peer' ELSE 'far' END AS route, count(*) AS n
   FROM (SELECT *, split_part(substr(node, 2), ']', 1) AS kind FROM h3) GROUP BY ALL""")
 def e32_route_classes(spark, d):
-    h = G.hops(X.small_edges(spark, d), X.seeds(spark, d), 3).withColumn("kind", node_type(F.col("node")))
+    h = G.hops(X.edges(spark, d), X.seeds(spark, d), 3).withColumn("kind", node_type(F.col("node")))
     k, n = F.col("kind"), F.col("hops")
     route = F.when(n == 0, "seed").when((k == "nation") & (n == 1), "direct").when(k == "region", "field").when(k == "supplier", "shared_place").when(k == "customer", "peer").otherwise("far")
     return h.groupBy("query_id", route.alias("route")).agg(F.count("*").alias("n"))
 
 
-@query(GRAPH + """, m AS (SELECT query_id, src, dst, 1.0::DOUBLE / (1 + query_id) AS logit FROM (SELECT DISTINCT * FROM seeds) JOIN small ON node = src),
+@query(GRAPH + """, m AS (SELECT query_id, src, dst, 1.0::DOUBLE / (1 + query_id) AS logit FROM (SELECT DISTINCT * FROM seeds) JOIN edges ON node = src),
   a AS (SELECT *, exp(logit - max(logit) OVER w) / sum(exp(logit)) OVER w * exp(max(logit) OVER w) AS p, count(*) OVER w AS deg FROM m WINDOW w AS (PARTITION BY query_id, dst)) SELECT query_id, src, dst, round(p * deg, 6) AS gate FROM a""")
 def e26_attention_gates(spark, d):
     """Softmax over the edges into a node, times their number, so that the mean gate is 1."""
-    m = X.seeds(spark, d).distinct().join(X.small_edges(spark, d), F.col("node") == F.col("src")).withColumn("logit", 1.0 / (1 + F.col("query_id")))
+    m = X.seeds(spark, d).distinct().join(X.edges(spark, d), F.col("node") == F.col("src")).withColumn("logit", 1.0 / (1 + F.col("query_id")))
     w = Window.partitionBy("query_id", "dst")
     e = F.exp(F.col("logit") - F.max("logit").over(w))
     return m.withColumn("e", e).select("query_id", "src", "dst", F.round(F.col("e") / F.sum("e").over(w) * F.count("*").over(w), 6).alias("gate"))
@@ -110,18 +110,9 @@ def d10_usage_share(spark, d):
     return use.crossJoin(F.broadcast(total)).select("l_suppkey", "n_orders", (F.col("n_orders") / F.col("total") > 0.012).alias("heavy"))
 
 
-@query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT l_partkey))[1:5], ',') AS parts, count(DISTINCT l_partkey) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 49 GROUP BY o_custkey")
+@query("SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def c21_linked_entities(spark, d):
-    """The entities that a document's edges name, the first five in order."""
-    li = read_table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    met = read_table(spark, d, "orders").select("o_orderkey", "o_custkey").join(li, "o_orderkey").select("o_custkey", "l_partkey").distinct()
-    parts = F.sort_array(F.collect_list("l_partkey"))
-    return met.groupBy("o_custkey").agg(F.array_join(F.slice(parts, 1, 5).cast("array<string>"), ",").alias("parts"), F.count("*").alias("n"))
-
-
-@query()
-def c21_linked_entities_whole(spark, d):
-    """(o_custkey, l_partkey): all linked entities, a row each. ``c21_linked_entities`` has the filter and the cut of its SQL."""
+    """All entities that a document's edges name, a row each."""
     li = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     return read_table(spark, d, "orders").select("o_orderkey", "o_custkey").join(li, "o_orderkey").select("o_custkey", "l_partkey").distinct()
 

@@ -54,11 +54,11 @@ def a04_node_csv(spark, d):
     return rows.select("uid", F.sha2("text", 256).alias("digest"), "role")
 
 
-@query("WITH RECURSIVE " + X.EDGES_SQL + "SELECT src AS source, rel AS relation, dst AS target FROM small")
+@query("WITH RECURSIVE " + X.EDGES_SQL + "SELECT src AS source, rel AS relation, dst AS target FROM edges")
 def a09_graph_files(spark, d):
     """A graph's folders of CSV; what its edges read as."""
     path = scratch_path(spark, "graph")
-    e = X.small_edges(spark, d).select(F.col("src").alias("source"), F.col("rel").alias("relation"), F.col("dst").alias("target"))
+    e = X.edges(spark, d).select(F.col("src").alias("source"), F.col("rel").alias("relation"), F.col("dst").alias("target"))
     S.write_graph(e.select(F.col("source").alias("name")).distinct(), e, path)
     return S.read_csv(spark, f"{path}/edges", "source string, relation string, target string")
 
