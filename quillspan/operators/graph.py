@@ -9,6 +9,10 @@ from quillspan.functions.vectors import dot
 from quillspan.session import MAX_BUCKETS, bucketed, materialize
 
 
+#: Queries whose walks share rows.
+SIDE = 8
+
+
 def with_inverse(edges: DataFrame) -> DataFrame:
     """Each edge, and its inverse under ``inverse_`` and the relation's name."""
     return edges.select("src", "rel", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.concat(F.lit("inverse_"), "rel").alias("rel"), F.col("src").alias("dst")))
@@ -32,28 +36,34 @@ def transitions(edges: DataFrame) -> DataFrame:
 def walk(steps: DataFrame, seeds: DataFrame, rounds: int, restart: float, every: int = 5) -> DataFrame:
     """(query_id, node, mass) of a walk over steps (src, dst, w) from seeds (query_id, node), uniform over distinct ones.
 
-    Nodes are numbered. Steps lie in buckets by source, and the state is dealt out by node
-    in as many parts, so that a round shuffles the state once and the steps never. The
-    state is written every few rounds, so that neither the plan nor the work after a lost
-    executor grows with the rounds.
+    Nodes are numbered, and ``SIDE`` queries at a time share the rows of a state, a column
+    each. Steps lie in buckets by source, and the state is dealt out by node in as many
+    parts, so that a round shuffles the state once and the steps never. The state is written
+    every few rounds, so that neither the plan nor the work after a lost executor grows with
+    the rounds.
     """
-    start = seeds.distinct().withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy("query_id")))
+    seeds = seeds.distinct()
+    asked = materialize(seeds.groupBy("query_id").agg(F.count("*").alias("n_seeds")).withColumn("n", F.monotonically_increasing_id()), "queries")
+    asked = asked.select("query_id", "n_seeds", F.expr(f"n div {SIDE}").alias("team"), (F.col("n") % SIDE).alias("slot"))
     names = steps.select(F.col("src").alias("node")).unionAll(steps.select(F.col("dst").alias("node"))).unionAll(seeds.select("node")).distinct()
     names = materialize(names.withColumn("number", F.monotonically_increasing_id()), "numbers")
     number = lambda df, c: df.join(names.select(F.col("node").alias(c), F.col("number").alias(f"n_{c}")), c)
-    n_steps = steps.count()
-    parts = max(steps.sparkSession.sparkContext.defaultParallelism, min(MAX_BUCKETS, n_steps // 1_000_000))
+    parts = max(steps.sparkSession.sparkContext.defaultParallelism, min(MAX_BUCKETS, steps.count() // 1_000_000))
     p = number(number(steps, "src"), "dst").select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst"), "w")
     p = bucketed(p.repartition(parts, "src"), "steps", "src", parts)
-    start = bucketed(number(start, "node").select("query_id", F.col("n_node").alias("node"), "mass").repartition(parts, "node"), "start", "node", parts)
-    x = start
+    masses = [f"m{i}" for i in range(SIDE)]
+    begun = number(seeds, "node").join(asked, "query_id").select("team", F.col("n_node").alias("node"), "slot", (1.0 / F.col("n_seeds")).alias("mass"))
+    begun = begun.repartition(parts, "node").groupBy("team", "node").agg(*(F.sum(F.when(F.col("slot") == i, F.col("mass")).otherwise(0.0)).alias(m) for i, m in enumerate(masses)))
+    start = x = bucketed(begun, "start", "node", parts)
+    back = start.select("team", "node", *((restart * F.col(m)).alias(m) for m in masses))
     for i in range(1, rounds + 1):
-        moved = x.join(p, x["node"] == p["src"]).select("query_id", F.col("dst").alias("node"), ((1 - restart) * F.col("mass") * F.col("w")).alias("mass"))
-        back = start.select("query_id", "node", (restart * F.col("mass")).alias("mass"))
-        x = moved.unionByName(back).repartition(parts, "node").groupBy("query_id", "node").agg(F.sum("mass").alias("mass"))
+        moved = x.join(p, x["node"] == p["src"]).select("team", F.col("dst").alias("node"), *(((1 - restart) * F.col(m) * F.col("w")).alias(m) for m in masses))
+        x = moved.unionByName(back).repartition(parts, "node").groupBy("team", "node").agg(*(F.sum(m).alias(m) for m in masses))
         if i % every == 0:
             x = bucketed(x, "mass", "node", parts)
-    return x.withColumnRenamed("node", "number").join(names, "number").select("query_id", "node", "mass")
+    each = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("slot"), F.col(m).alias("mass")) for i, m in enumerate(masses))))
+    flat = x.select("team", F.col("node").alias("number"), each.alias("e")).select("team", "number", "e.*").where("mass > 0")
+    return flat.join(asked, ["team", "slot"]).join(names, "number").select("query_id", "node", "mass")
 
 
 def random_walk(edges: DataFrame, seeds: DataFrame, *, steps: int = 3, restart: float = 0.15) -> DataFrame:

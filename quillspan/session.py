@@ -61,7 +61,10 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
 
 
 def clean_scratch(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote; for use between jobs."""
+    """Delete every table that ``materialize`` and ``bucketed`` wrote; for use between jobs."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("quillspan_"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspan-scratch")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
