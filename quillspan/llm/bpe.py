@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspan.llm.automaton import Lexicon, compile_lexicon
-from quillspan.llm.text import arrow_schema, slices
+from quillspan.llm.text import arrow_schema, kept_in_worker, release_memory, slices
 from quillspan.session import materialize
 
 #: A piece is frequent if it is at least this share of all pieces, so that the lexicon holds
@@ -183,7 +183,7 @@ def frequent_pieces(docs: DataFrame, payload: bytes, *, text_col: str = "text",
     arrow = arrow_schema(texts, out)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, counts = Rules(payload), Counter()
+        rules, counts = kept_in_worker(("bpe", payload), lambda: Rules(payload)), Counter()
 
         def counted():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=arrow)
@@ -197,6 +197,8 @@ def frequent_pieces(docs: DataFrame, payload: bytes, *, text_col: str = "text",
                     counts.clear()
         if counts:
             yield counted()
+        del counts
+        release_memory()
 
     counts = materialize(texts.mapInArrow(count, out).groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -228,7 +230,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(Rules(shared.value[0]), Lexicon.of_bytes(shared.value[1]))
+            encoder = encoder or Encoder(kept_in_worker(("bpe", shared.value[0]), lambda: Rules(shared.value[0])), Lexicon.of_bytes(shared.value[1]))
             begin = 0
             for part in slices(batch.column(1).to_pylist(), PART):
                 ids = encoder.encode(part)
@@ -239,6 +241,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
                 begin += len(part)
+        del encoder
+        release_memory()
 
     return texts.mapInArrow(run, out)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.decontaminate import sized
-from quillspan.llm.text import arrow_schema, free_name, split_join
+from quillspan.llm.text import arrow_schema, free_name, release_memory, split_join
 from quillspan.session import materialize
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +81,7 @@ def line_table(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
                     rows = []
             if rows:
                 yield columns(rows, arrow)
+        release_memory()
 
     return texts.mapInArrow(run, out)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -64,6 +66,27 @@ def arrow_schema(like: DataFrame, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system, as workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for later tasks of this Python worker until another key is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        release_memory()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def slices(texts: list, most: int = 1 << 20) -> Iterator[list]:
     """Consecutive texts in slices of about ``most`` characters, so that encodings stay small."""
     part, size = [], 0

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quillspan.llm.text import WORD_BYTES, arrow_schema, map_texts
+from quillspan.llm.text import WORD_BYTES, arrow_schema, kept_in_worker, map_texts
 from quillspan.session import materialize
 
 #: Labelled documents that the lexicon and the weights are fitted on, at most.
@@ -336,16 +336,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MAX_TRAIN, id_col: st
     return scorer.model
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """One scorer for each model and Python worker, so that tasks share what it remembers."""
-    key = repr(model)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    return kept_in_worker(("toxicity", repr(model)), lambda: Scorer(model))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
