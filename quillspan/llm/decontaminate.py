@@ -217,10 +217,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     Null and repeated ids do no harm; null and empty texts stay. All columns stay, whatever
     their names; without items every row stays, and an empty table gives an empty result.
     """
-    row = free_name(docs, "row_of_docs")
-    tagged = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
-    found = contamination(tagged.select(row, F.col(text_col).alias("text")), items, id_col=row).where("contaminated").select(row)
-    return tagged.join(sized(materialize(found, "contaminated")), row, "left_anti").select(docs.columns)
+    # Equal texts share a verdict, so that 128 bits of hash of the text name it and no row needs a number.
+    key, text = free_name(docs, "text_key"), F.col(text_col)
+    digest = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    found = contamination(docs.select(digest.alias(key), text.alias("text")), items, id_col=key).where("contaminated").select(key).distinct()
+    return docs.withColumn(key, digest).join(sized(materialize(found, "contaminated")), key, "left_anti").select(docs.columns)
 
 
 WORDS_SQL = (
