@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block; a product of two blocks is what a task holds at once.
 BLOCK = 2048
+#: Tasks that the blocks of one group are dealt out to.
+SPREAD = 16
 
 
 def blocks(vectors: DataFrame, size: int, by: Sequence[str]) -> DataFrame:
@@ -27,6 +29,53 @@ def unpacked(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return ids, vs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
 
 
+def side_by_side(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Blocks of the same group: those of the left, with a number ``block``, are dealt out over ``SPREAD`` copies of the right."""
+    parts = 4 * left.sparkSession.sparkContext.defaultParallelism
+    one = left.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(SPREAD)))
+    two = right.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return one.repartition(parts, *by, "deal").join(two.repartition(parts, *by, "deal").hint("shuffle_hash"), [*by, "deal"]).drop("deal")
+
+
+def linked(vectors: DataFrame, least: float, by: str = "kind", size: int = BLOCK) -> DataFrame:
+    """(a, b): pairs that connect the vectors (kind, id, v) of one kind just as all pairs with a dot product of ``least`` or more do.
+
+    Each pair of blocks gives for its connected vectors their least one, so that there are
+    no more rows than vectors a pair of blocks, however many pairs are near.
+    """
+    dealt = blocks(vectors, size, [by])
+    left, right = dealt.withColumnRenamed("rows", "q"), dealt.select(by, F.col("block").alias("other"), F.col("rows").alias("d"))
+    met = side_by_side(left, right, [by]).where("block <= other").select("q", "d")
+    kind_of = vectors.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, x), (b, y) = (unpacked(batch.column(batch.schema.get_field_index(c)).slice(i, 1)) for c in "qd")
+                a, b = (z.to_numpy(zero_copy_only=False) for z in (a, b))
+                near = (x @ y.T >= least) & ~np.equal.outer(a, b)
+                ends, roots = [], []
+                todo = near.any(axis=1)
+                for start in np.flatnonzero(todo):
+                    if not todo[start]:
+                        continue
+                    rows, seen, met_too = np.array([start]), np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+                    while len(rows):
+                        seen[rows] = True
+                        columns = np.flatnonzero(near[rows].any(axis=0) & ~met_too)
+                        met_too[columns] = True
+                        rows = np.flatnonzero(near[:, columns].any(axis=1) & ~seen)
+                    todo[seen] = False
+                    group = np.concatenate([a[seen], b[met_too]])
+                    ends.append(group)
+                    roots.append(np.full(len(group), group.min()))
+                if ends:
+                    one, two = np.concatenate(ends), np.concatenate(roots)
+                    yield pa.RecordBatch.from_arrays([pa.array(z[one != two]) for z in (one, two)], names=["a", "b"])
+
+    return met.mapInArrow(run, f"a {kind_of}, b {kind_of}")
+
+
 def nearest(queries: DataFrame, docs: DataFrame, k: int, *, by: Sequence[str] = (), least: float | None = None, same: bool = False, size: int = BLOCK) -> DataFrame:
     """(by…, query_id, doc_id, score, rank): the ``k`` largest dot products of each query, ties by id.
 
@@ -36,7 +85,7 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, *, by: Sequence[str] =
     vectors tie. Null vectors are left out; groups of one side alone give no rows.
     """
     left, right = (blocks(x, size, by).select(*by, F.col("rows").alias(name)) for x, name in ((queries, "q"), (docs, "d")))
-    met = left.join(right, list(by)) if by else left.crossJoin(right)
+    met = side_by_side(left.withColumn("block", F.monotonically_increasing_id()), right, by).drop("block") if by else left.crossJoin(right)
     name_of = lambda df, c: df.schema[c].dataType.simpleString()
     out = ", ".join([*(f"{c} {name_of(queries, c)}" for c in by), f"query_id {name_of(queries, 'id')}", f"doc_id {name_of(docs, 'id')}", "score double"])
 
