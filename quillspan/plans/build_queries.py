@@ -9,7 +9,7 @@ from quillspan.operators import build as B
 from quillspan.operators import graph as G
 from quillspan.operators import paths as P
 from quillspan.operators.components import connected_components
-from quillspan.operators.dense import nearest
+from quillspan.operators.dense import linked, nearest
 from quillspan.operators.staging import contaminated
 from quillspan.plans import fixtures as X
 from quillspan.plans.graph_queries import GRAPH, HOPS_SQL, STEP_SQL, VEC_SQL, vectors, walk_sql
@@ -66,7 +66,7 @@ CLUSTER_SQL = VEC_SQL + """, e AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y
 def e02_representatives(spark, d):
     """The concept that stands for each cluster, and its centroid."""
     v = vectors(spark, d)
-    c = connected_components(G.similar_pairs(v, 0.35)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    c = connected_components(linked(v, 0.35)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     m = v.join(c, "id").select("cluster", "id", F.concat(F.lit("concept "), F.col("id").cast("string")).alias("name"), (F.col("id") % 7).alias("weight"), "v")
     return B.representatives(m).select("cluster", "rep", "size", F.round(F.col("centroid")[0], 6).alias("first_place"))
 
