@@ -66,7 +66,7 @@ def test_views_by_blocks(same, row_pairs, monkeypatch, name):
     same(name, embeddings=embeddings(name not in RUNS))
 
 
-@pytest.mark.parametrize("name", ("e03_mutual_neighbours", "e02_consolidation", "e02_representatives"))
+@pytest.mark.parametrize("name", ("e03_mutual_neighbours", "e03_soft_edges", "e02_consolidation", "e02_representatives"))
 def test_neighbours_by_blocks(same, row_pairs, name):
     rows, ddl = embeddings(False)
     same(name, embeddings=([(i, [x + (i % 60) * j * 0.001 for j, x in enumerate(v)], 1 if k is None else k) for i, v, k in rows if i < 58], ddl))
