@@ -1,13 +1,10 @@
-"""Lexical and multi-view retrieval."""
+"""Lexical retrieval."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.vectors import dot
-from quillspan.operators.ranking import by_query, zscore
-
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """(doc_id, term, tf)."""
@@ -33,41 +30,3 @@ def bm25(docs: DataFrame, queries: DataFrame, tokenize, *, id_col: str = "doc_id
     times = F.col("qtf") if repeats else F.lit(1)
     weighted = postings.join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats)).select("doc_id", "term", (idf * weight).alias("w"))
     return weighted.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(times * F.col("w")).alias("score"))
-
-
-def view_signals(sims: DataFrame, views: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, dense, total, best, background) of a query and its views.
-
-    ``total`` and ``best`` are the sum and the maximum of positive similarities over the
-    views; ``background`` is what all other queries' views give the document, 1e-6 at least.
-    """
-    hits = docs.join(F.broadcast(views), F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.greatest(dot(F.col("v"), F.col("embedding")), F.lit(0.0)).alias("s"))
-    own = hits.groupBy("query_id", "doc_id").agg(F.sum("s").alias("total"), F.max("s").alias("best"))
-    every = own.groupBy("doc_id").agg(F.sum("total").alias("every"))
-    met = sims.withColumnRenamed("score", "dense").join(own, ["query_id", "doc_id"]).join(every, "doc_id")
-    return met.withColumn("background", F.greatest(F.col("every") - F.col("total"), F.lit(1e-6))).drop("every")
-
-
-def multi_view_score(signals: DataFrame, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), power: float = 1.0) -> DataFrame:
-    """w0 z(dense) + w1 z(total / background^power) + w2 z(best / background^power)."""
-    w = by_query()
-    z = lambda c: (c - F.avg(c).over(w)) / (F.stddev_samp(c).over(w) + 1e-6)
-    down = F.pow("background", F.lit(power))
-    score = weights[0] * z(F.col("dense")) + weights[1] * z(F.col("total") / down) + weights[2] * z(F.col("best") / down)
-    return signals.select("query_id", "doc_id", score.alias("score"))
-
-
-def additive_fusion(semantic: DataFrame, graph: DataFrame, gain: float) -> DataFrame:
-    """z(semantic) + gain * max(z(graph), 0); a document without graph score adds nothing."""
-    g = zscore(graph).select("query_id", "doc_id", F.greatest("score", F.lit(0.0)).alias("g"))
-    s = zscore(semantic).join(g, ["query_id", "doc_id"], "left")
-    return s.select("query_id", "doc_id", (F.col("score") + gain * F.coalesce("g", F.lit(0.0))).alias("score"))
-
-
-def mixture_fusion(semantic: DataFrame, graph: DataFrame, share: float, temperature: float = 1.0) -> DataFrame:
-    """ln((1 - share) softmax(semantic) + share * graph's distribution)."""
-    from quillspan.operators.ranking import softmax
-
-    g = graph.withColumn("g", F.col("score") / F.sum("score").over(by_query())).select("query_id", "doc_id", "g")
-    s = softmax(semantic, temperature).join(g, ["query_id", "doc_id"], "left")
-    return s.select("query_id", "doc_id", F.log((1 - share) * F.col("score") + share * F.coalesce("g", F.lit(0.0)) + 1e-12).alias("score"))

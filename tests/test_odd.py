@@ -35,7 +35,7 @@ def test_supplier_keys_like_years(same):
     same("b29_reference_evidence", supplier=(rows, "s_suppkey long, s_name string, s_nationkey int"))
 
 
-VIEWS = ("d15_background", "e41_additive_fusion", "e42_mixture_fusion", "g10_merge_runs", "c18_rank_deltas", "f10_router_features", "h16_bootstrap", "j08_distillation", "j03_matchability", "j04_view_scales", "f09_view_scales", "c10_late_interaction", "h21_largest_moves", "h24_necessity", "j14_paired_ranks")
+VIEWS = ("d15_background", "e38_multi_view", "e41_additive_fusion", "e42_mixture_fusion", "g10_merge_runs", "c18_rank_deltas", "f10_router_features", "h16_bootstrap", "j08_distillation", "j03_matchability", "j04_view_scales", "f09_view_scales", "c10_late_interaction", "h21_largest_moves", "h24_necessity", "j14_paired_ranks")
 RUNS = ("g10_merge_runs", "c18_rank_deltas", "f10_router_features", "h16_bootstrap")
 
 
