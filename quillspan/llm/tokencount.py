@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -14,10 +17,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.decontaminate import sized
-from quillspan.llm.text import arrow_schema, slices, split_join
+from quillspan.llm.text import arrow_schema, kept_in_worker, slices, split_join
 from quillspan.session import materialize
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
+#: White space and what follows it up to the next white space: the pattern of byte-level files never cuts
+#: a piece across the end of such a part. To the library U+001C to U+001F are no white space.
+PARTS = re.compile("[^\\S\\x1c-\\x1f]*[\\S\\x1c-\\x1f]+|[^\\S\\x1c-\\x1f]+")
+#: Occurrences in a slice of texts from which on a part's count is remembered, the longest such part, and how many a worker remembers.
+OFTEN = 4
+LONG_PART = 64
+REMEMBERED = 200_000
 #: Part of the version digest: raise it when counts of the same file would change.
 RULES = "plain ids: no begin, end or added tokens; no truncation or padding; 1"
 
@@ -44,7 +54,38 @@ def counter(name: str, payload: bytes):
     model = Tokenizer.from_buffer(payload)
     model.no_truncation()
     model.no_padding()
-    return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+    return by_parts(whole) if parts_alone(json.loads(payload)) else whole
+
+
+def parts_alone(spec: dict) -> bool:
+    """Whether each of ``PARTS`` has the same tokens alone as in its text."""
+    cut, tokens = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    as_they_stand = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in tokens)
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return bool(plain and as_they_stand and spec["model"]["type"] == "BPE" and spec["model"].get("dropout") is None and not spec.get("normalizer") and not spec.get("post_processor"))
+
+
+def by_parts(count: Callable[[list[str]], list[int]], most: int = REMEMBERED) -> Callable[[list[str]], list[int]]:
+    """``count`` added up over the parts of a text: those met often are counted once, the others of a text together.
+
+    What is left of a text without some of its parts has the same parts, for each begins
+    with white space but the first.
+    """
+    known: dict[str, int] = {}
+
+    def counts(texts: list[str]) -> list[int]:
+        cut = [PARTS.findall(x) for x in texts]
+        often = Counter(chain.from_iterable(cut))
+        new = [x for x, n in often.items() if n >= OFTEN and len(x) <= LONG_PART and x not in known]
+        if len(known) + len(new) > most:
+            known.clear()
+            new = [x for x, n in often.items() if n >= OFTEN and len(x) <= LONG_PART]
+        known.update(zip(new, count(new)))
+        rest = count(["".join([p for p in parts if p not in known]) for parts in cut])
+        return [n + sum(map(known.__getitem__, filter(known.__contains__, parts))) for n, parts in zip(rest, cut)]
+
+    return counts
 
 
 def normaliser(name: str, payload: bytes) -> Callable[[str], str] | None:
@@ -131,7 +172,7 @@ def count_tokens(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
         for batch in batches:
-            count = count or counter(name, shared.value)
+            count = count or kept_in_worker(("tokens", version), lambda: counter(name, shared.value))
             n = [k for part in slices(batch.column("text").to_pylist()) for k in count(part)]
             yield pa.RecordBatch.from_arrays([batch.column("digest").cast(arrow.field(0).type), pa.array(n, pa.int64())], schema=arrow)
 

@@ -192,3 +192,35 @@ def test_backoff(docs, rows, none, order, block, bucket):
 def test_backoff_of_a_single_text(spark):
     got = backoff.backoff_scores(spark.createDataFrame([(1, "Some words, some"), (None, None)], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.n_tokens, r.n_backoff, round(r.log_score, 9)) for r in got} == {(1, 3, 3, round(9 * math.log(0.4), 9)), (None, 0, 0, 0.0)}
+
+
+def odd_texts(n):
+    """Random texts of all kinds of white space, control characters, added tokens and composed characters."""
+    import random
+
+    rng = random.Random(n)
+    some = [*"ab 1.,'\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎​ 　́é東🙂\x00Σς", "  ", "'s", "<|endoftext|>", "<|startoftext|>", "İ", "word "]
+    return ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def test_token_counts_by_parts():
+    """The library gets a part that is met often once, and counts are those of whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        payload = f.read()
+    texts = odd_texts(3000)
+    count = tokencount.counter("byte_bpe_50k.json", payload)
+    for _ in range(2):
+        assert count(texts) == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    given = []
+
+    def whole(some):
+        given.extend(some)
+        return [len(library.encode(x, add_special_tokens=False).ids) for x in some]
+
+    often = [" ".join(["again"] * 50) + f" only{i}" for i in range(20)]
+    want = whole(often)
+    del given[:]
+    assert tokencount.by_parts(whole)(often) == want and sum(map(len, given)) < sum(map(len, often)) / 10
+    assert tokencount.by_parts(whole, most=1)(often) == want
