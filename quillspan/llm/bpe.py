@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +23,14 @@ from quillspan.session import materialize
 #: A piece is frequent if it is at least this share of all pieces, so that the lexicon holds
 #: at most 250,000 of them, whatever the size of the corpus.
 FREQUENT = 4e-6
-#: Distinct pieces whose ids a task remembers.
+#: Distinct pieces whose ids a Python worker remembers, and as many that it met before these.
 REMEMBERED = 200_000
 #: Longer texts are normalised in parts that end before a space, which never stands in a piece.
 PART = 1 << 20
 LONG_PIECE = 256
+#: Bytes of a piece up to which it is merged together with others.
+SHORT_PIECE = 24
+TOGETHER = 2048
 
 
 # Code points from U+0000 to U+024F that every Unicode version classes alike; all are in
@@ -67,7 +73,7 @@ class Rules:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        pairs = [tuple(p) for p in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.special else lambda x: [x]
@@ -75,6 +81,16 @@ class Rules:
         self.names = [names.get(i, "") for i in range(max(names, default=-1) + 1)]
         self.shown = byte_names()
         self.bytes_of = {c: bytes([b]) for b, c in self.shown.items()}
+        # Tokens have numbers while they merge, so that a pair is one number: its rank, and what it becomes.
+        singles = [self.shown[b] for b in range(256)]
+        number = {t: i for i, t in enumerate(dict.fromkeys([*singles, *(t + self.suffix for t in singles), *chain.from_iterable((a, b, a + b) for a, b in pairs)]))}
+        self.ranks = {number[a] << 32 | number[b]: i for i, (a, b) in enumerate(pairs)}
+        self.made = [number[a + b] for a, b in pairs]
+        self.begin, self.last = [number[t] for t in singles], [number[t + self.suffix] for t in singles]
+        self.id_of = [self.ids.get(t) for t in number]
+        self.arrays = [np.array([-1 if x is None else x for x in xs], dtype=np.int64) for xs in (self.begin, self.last, self.made, self.id_of)]
+        found = sorted(self.ranks.items())
+        self.sorted_pairs, self.sorted_ranks = (np.array([x[k] for x in found], dtype=np.int64) for k in range(2))
 
     def pieces(self, text: str) -> Iterator[tuple[str | None, list[str]]]:
         """Added tokens as (token, []) and what lies between them as (None, pieces).
@@ -99,45 +115,100 @@ class Rules:
 
     def merge(self, piece: str) -> list[int]:
         """The ids of one piece by merging, lowest rank first and from the left."""
-        tokens = [self.shown[b] for b in piece.encode()]
-        tokens[-1] += self.suffix
+        data = piece.encode()
+        tokens = [self.begin[b] for b in data]
+        tokens[-1] = self.last[data[-1]]
         if len(tokens) > LONG_PIECE:
             return self.merge_long(tokens)
-        get, none = self.ranks.get, len(self.ranks)
-        ranks = [get(p, none) for p in zip(tokens, tokens[1:])]
+        get, none = self.ranks.get, len(self.made)
+        ranks = [get(a << 32 | b, none) for a, b in pairwise(tokens)]
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
-            del ranks[i]
+            tokens[i] = made = self.made[best]
+            del tokens[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((tokens[i - 1], tokens[i]), none)
+                ranks[i - 1] = get(tokens[i - 1] << 32 | made, none)
             if i < len(ranks):
-                ranks[i] = get((tokens[i], tokens[i + 1]), none)
-        return [self.ids[t] for t in tokens if t in self.ids]
+                ranks[i] = get(made << 32 | tokens[i + 1], none)
+        return [x for x in map(self.id_of.__getitem__, tokens) if x is not None]
+
+    def merge_all(self, pieces: list[str]) -> list[list[int]]:
+        """``merge`` of many pieces; short ones of about one length take their next merges together."""
+        data = [p.encode() for p in pieces]
+        order = sorted(range(len(data)), key=lambda i: len(data[i]))
+        n_short = bisect_right(order, SHORT_PIECE, key=lambda i: len(data[i])) if self.made else 0
+        out: list[list[int]] = [[]] * len(data)
+        for begin in range(0, n_short, TOGETHER):
+            own = order[begin : min(n_short, begin + TOGETHER)]
+            for i, ids in zip(own, self.merge_short([data[i] for i in own])):
+                out[i] = ids
+        for i in order[n_short:]:
+            out[i] = self.merge(pieces[i])
+        return out
 
-    def merge_long(self, tokens: list[str]) -> list[int]:
+    def merge_short(self, data: list[bytes]) -> list[list[int]]:
+        """A row of tokens for each piece, and the ranks of the pairs in it."""
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        flat = np.frombuffer(b"".join(data), dtype=np.uint8)
+        places, none = np.arange(int(sizes.max()) + 1), len(self.made)
+        begin, last, made = self.arrays[:3]
+        tokens = np.full((len(data), len(places)), -1, dtype=np.int64)
+        tokens[places < sizes[:, None]] = begin[flat]
+        tokens[np.arange(len(data)), sizes - 1] = last[flat[np.cumsum(sizes) - 1]]
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            keys = np.where((a < 0) | (b < 0), -1, a << 32 | b)
+            at = np.minimum(np.searchsorted(self.sorted_pairs, keys), len(self.sorted_pairs) - 1)
+            return np.where(self.sorted_pairs[at] == keys, self.sorted_ranks[at], none)
+
+        live, t = np.arange(len(data)), tokens
+        r = rank(t[:, :-1], t[:, 1:])
+        while True:
+            i = r.argmin(axis=1)
+            best = r[np.arange(len(r)), i]
+            go = best < none
+            tokens[live[~go], : t.shape[1]] = t[~go]
+            live, t, r, i, best = live[go], t[go], r[go], i[go], best[go]
+            if not len(live):
+                break
+            # The token behind the pair goes, and what follows moves up.
+            row, column = np.arange(len(live)), places[: t.shape[1]]
+            t = np.take_along_axis(t, np.minimum(column + (column > i[:, None]), t.shape[1] - 1), 1)
+            r = np.take_along_axis(r, np.minimum(column[:-1] + (column[:-1] >= i[:, None]), r.shape[1] - 1), 1)
+            t[:, -1], r[:, -1] = -1, none
+            t[row, i] = made[best]
+            before = np.maximum(i - 1, 0)
+            r[row, before] = np.where(i > 0, rank(t[row, before], t[row, i]), r[row, before])
+            r[row, i] = rank(t[row, i], t[row, i + 1])
+        ids = self.arrays[3][tokens]
+        ids[tokens < 0] = -1
+        ends = [0, *np.cumsum((ids >= 0).sum(axis=1)).tolist()]
+        kept = ids[ids >= 0].tolist()
+        return [kept[a:b] for a, b in zip(ends, ends[1:])]
+
+    def merge_long(self, tokens: list[int]) -> list[int]:
         """The same with a heap of pairs, for pieces in which looking over all pairs costs too much."""
         get, n = self.ranks.get, len(tokens)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (r := get((tokens[i], tokens[i + 1]))) is not None]
+        heap = [(r, i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (r := get(tokens[i] << 32 | tokens[i + 1])) is not None]
         heapify(heap)
-        alive: list[str | None] = list(tokens)
+        alive: list[int | None] = list(tokens)
         while heap:
-            _, i, a, b = heappop(heap)
+            rank, i, a, b = heappop(heap)
             j = after[i]
             if alive[i] != a or j >= n or alive[j] != b:
                 continue
-            alive[i], alive[j] = a + b, None
+            alive[i], alive[j] = self.made[rank], None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
             for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (r := get((alive[x], alive[y]))) is not None:
+                if x >= 0 and y < n and (r := get(alive[x] << 32 | alive[y])) is not None:
                     heappush(heap, (r, x, alive[x], alive[y]))
-        return [self.ids[t] for t in alive if t is not None and t in self.ids]
+        return [x for t in alive if t is not None and (x := self.id_of[t]) is not None]
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by spaces: what the library does where a file has no decoder."""
@@ -150,15 +221,22 @@ class Encoder:
     def __init__(self, rules: Rules, lexicon: Lexicon):
         self.rules, self.lexicon = rules, lexicon
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
+        """Pieces that are met again outlive the ``REMEMBERED`` that come after them."""
+        new = pieces - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(pieces)
+            self.known, self.older, new = {}, self.known, pieces
+        if self.older:
+            self.known.update((p, self.older[p]) for p in new & self.older.keys())
+            new -= self.older.keys()
         if new:
-            for p, place in zip(new, self.lexicon.places([p.encode() for p in new]).tolist()):
-                self.known[p] = self.lexicon.outputs(place) if place >= 0 else self.rules.merge(p)
+            new = list(new)
+            places = self.lexicon.places([p.encode() for p in new]).tolist()
+            rare = [p for p, place in zip(new, places) if place < 0]
+            self.known.update((p, self.lexicon.outputs(place)) for p, place in zip(new, places) if place >= 0)
+            self.known.update(zip(rare, self.rules.merge_all(rare)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text; the pieces of all are looked up together."""
@@ -170,8 +248,7 @@ class Encoder:
             for token, pieces in parts:
                 if token is not None:
                     ids.append(self.rules.special[token])
-                for found in map(self.known.__getitem__, pieces):
-                    ids += found
+                ids += chain.from_iterable(map(self.known.__getitem__, pieces))
             out.append(ids)
         return out
 
@@ -220,7 +297,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
         payload = f.read()
     rules = Rules(payload)
     words = sorted((p.encode(), p) for p in frequent_pieces(docs, payload, text_col=text_col, share=share))
-    lexicon = compile_lexicon([w for w, _ in words], [rules.merge(p) for _, p in words])
+    lexicon = compile_lexicon([w for w, _ in words], rules.merge_all([p for _, p in words]))
     shared = docs.sparkSession.sparkContext.broadcast((payload, lexicon))
     id_type = docs.schema[id_col].dataType.simpleString()
     out = f"{id_col} {id_type}, ids array<int>, decoded string"

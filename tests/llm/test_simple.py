@@ -224,3 +224,15 @@ def test_token_counts_by_parts():
     del given[:]
     assert tokencount.by_parts(whole)(often) == want and sum(map(len, given)) < sum(map(len, often)) / 10
     assert tokencount.by_parts(whole, most=1)(often) == want
+
+
+def test_bpe_merges_together():
+    """Pieces that are merged together have the ids of the library, whatever their lengths."""
+    library = Tokenizer.from_file(WORD_BPE)
+    with open(WORD_BPE, "rb") as f:
+        rules = bpe.Rules(f.read())
+    texts = [*odd_texts(3000), "ab" * 11 + "c", "ab" * 12, "ab" * 13, "é東" * 300, "x" * 3000]
+    pieces = sorted({p for t in texts for _, part in rules.pieces(t) for p in part})
+    assert rules.merge_all(pieces) == [rules.merge(p) for p in pieces] and rules.merge_all([]) == []
+    encoder = bpe.Encoder(rules, automaton.Lexicon.of_bytes(automaton.compile_lexicon([], [])))
+    assert encoder.encode(texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
