@@ -159,3 +159,22 @@ def test_proximity_without_the_rarest_term(spark):
     got = D.scan(docs, spark.createDataFrame([(7, item), (8, "alpha beta gamma delta epsilon"), (9, None)], "item_id long, text string")).collect()
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert sorted((r.doc_id or 0, r.n_near_items, r.near_items_sha256 == sha("7")) for r in got) == [(0, 1, True), (1, 1, True), (2, 1, True), (3, 0, False), (4, 0, False), (5, 0, False)]
+
+
+def test_postings_of_item_words_are_read_once(spark):
+    """The fast split gives the words of the contract, and later steps get the items' words only, numbered in order."""
+    from pyspark.sql import functions as F
+
+    from quillspan.llm import decontaminate as D
+    from quillspan.llm.text import lower_word, split_words, words_column
+
+    odd = ["".join(map(chr, range(128))), "ÉTÉ İxKY ..A\x7fb C--", "", "...", "-Ab-", None, "世界1 Z\U0001f600z"]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "doc_id long, text string")
+    met = texts.select(F.transform(split_words(F.col("text")), lower_word).alias("a"), words_column(F.col("text")).alias("b")).collect()
+    assert all(r.a == r.b for r in met) and sum(len(r.b) for r in met) == 10
+    docs = spark.createDataFrame([(1, "x B a"), (2, "c a"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "b A z")], "item_id string, text string")
+    own, tokens = D.own_postings(D.build_index(docs), D.item_tokens(items))
+    number = {r.ipos: r.term for r in tokens.collect()}
+    assert number[1] < number[0] < number[2]
+    assert sorted((r.pos, r.term) for r in own.collect()) == [(1, number[1]), (1, number[0]), (2, number[1])]
