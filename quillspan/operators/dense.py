@@ -76,6 +76,30 @@ def linked(vectors: DataFrame, least: float, by: str = "kind", size: int = BLOCK
     return met.mapInArrow(run, f"a {kind_of}, b {kind_of}")
 
 
+def largest(scores: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, scores) of the ``k`` largest of each row with all ties, at ``least`` or above, rounded to 12 places.
+
+    Of groups of columns only the largest are ordered: where ``k`` groups reach a bound, so
+    do the ``k`` largest, and only what does is rounded and compared.
+    """
+    near = 1e-11
+    bound = np.full((len(scores), 1), -np.inf if least is None else least - near)
+    width = max(1, scores.shape[1] // (4 * k))
+    groups = scores.shape[1] // width
+    if groups > k:
+        tops = scores[:, : groups * width].reshape(len(scores), groups, width).max(axis=2)
+        bound = np.maximum(bound, np.partition(tops, groups - k, axis=1)[:, groups - k : groups - k + 1] - near)
+    rows, columns = np.nonzero(scores >= bound)
+    found = np.round(scores[rows, columns], 12)
+    kept = found > -np.inf if least is None else found >= least
+    rows, columns, found = rows[kept], columns[kept], found[kept]
+    order = np.lexsort((-found, rows))
+    begin = np.searchsorted(rows, np.arange(len(scores)))
+    nth = np.minimum(begin + k, np.append(begin[1:], len(rows))) - 1
+    kept = found >= found[order][nth[rows]] if len(rows) else kept[:0]
+    return rows[kept], columns[kept], found[kept]
+
+
 def nearest(queries: DataFrame, docs: DataFrame, k: int, *, by: Sequence[str] = (), least: float | None = None, same: bool = False, size: int = BLOCK) -> DataFrame:
     """(by…, query_id, doc_id, score, rank): the ``k`` largest dot products of each query, ties by id.
 
@@ -93,15 +117,14 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, *, by: Sequence[str] =
         for batch in batches:
             for i in range(batch.num_rows):
                 (a, x), (b, y) = (unpacked(batch.column(batch.schema.get_field_index(c)).slice(i, 1)) for c in "qd")
-                scores = np.round(x @ y.T, 12)
+                scores = x @ y.T
+                if not (np.isfinite(x).all() and np.isfinite(y).all()):
+                    scores[np.isnan(scores)] = -np.inf
                 if same:
                     scores[np.equal.outer(a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False))] = -np.inf
-                kept = scores > -np.inf if least is None else scores >= least
-                if scores.shape[1] > k:
-                    kept &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-                rows, columns = np.nonzero(kept)
+                rows, columns, found = largest(scores, k, least)
                 keys = [batch.column(j).slice(i, 1).take(pa.array(np.zeros(len(rows), dtype=np.int64))) for j in range(len(by))]
-                yield pa.RecordBatch.from_arrays([*keys, a.take(pa.array(rows)), b.take(pa.array(columns)), pa.array(scores[rows, columns])], names=[*by, "query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*keys, a.take(pa.array(rows)), b.take(pa.array(columns)), pa.array(found)], names=[*by, "query_id", "doc_id", "score"])
 
     best = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "doc_id")
     return met.mapInArrow(run, out).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

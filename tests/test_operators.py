@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from quillspan.functions import text as T
 from quillspan.operators import graph as G
+from quillspan.operators.dense import largest
 from quillspan.operators import evaluation as E
 from quillspan.operators import metrics as M
 from quillspan.operators import ranking as R
@@ -161,3 +163,17 @@ def test_walk_by_blocks(spark, single):
         got = {(r.query_id, r.node): r.mass for r in G.walk(edges, asked, 4, 0.1, single=single, size=size, most=most).collect()}
         assert {t.name for t in spark.catalog.listTables()} == before
         assert got.keys() == want.keys() and all(math.isclose(got[k], m) for k, m in want.items())
+
+
+@pytest.mark.parametrize("n, k, least", ((300, 8, None), (5, 8, None), (2048, 8, 0.1), (700, 100, None), (1, 1, None), (40, 3, 0.2)))
+def test_largest_of_rows(n, k, least):
+    """Ties stay, as with all scores rounded and ordered."""
+    rng = np.random.default_rng(1)
+    scores = rng.normal(size=(50, n)) if n == 2048 else rng.integers(-9, 9, (50, n)) / 10.0 + rng.normal(size=(50, n)) * 1e-15
+    scores[3], scores[4, :-1] = -np.inf, -np.inf
+    want = np.round(scores, 12)
+    kept = want > -np.inf if least is None else want >= least
+    if n > k:
+        kept &= want >= -np.partition(-want, k - 1, axis=1)[:, k - 1 : k]
+    rows, columns, found = largest(scores, k, least)
+    assert [*zip(rows, columns)] == [*zip(*np.nonzero(kept))] and (found == want[kept]).all()
