@@ -186,10 +186,10 @@ def test_walk_whole(spark, single):
     seeds = [("p", "a"), ("p", "n1"), ("p", "a"), ("q", "n2"), ("r", "alone"), ("s", None), (None, "a")]
     edges, asked = spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame(seeds, "query_id string, node string")
     status, masses, jobs = spark.sparkContext.statusTracker(), [], []
-    for most, rounds in ((0, 3), (G.WHOLE, 3), (G.WHOLE, 40)):
-        spark.sparkContext.setJobGroup(f"walk-{single}-{most}-{rounds}", "")
-        masses.append({(r.query_id, r.node): r.mass for r in G.walk(edges, asked, rounds, 0.1, single=single, whole=most).collect()})
-        jobs.append(len(status.getJobIdsForGroup(f"walk-{single}-{most}-{rounds}")))
+    for whole, rounds in ((0, 3), (G.WHOLE, 3), (G.WHOLE, 40)):
+        spark.sparkContext.setJobGroup(f"walk-{single}-{whole}-{rounds}", "")
+        masses.append({(r.query_id, r.node): r.mass for r in G.walk(edges, asked, rounds, 0.1, single=single, size=8, most=1, whole=whole).collect()})
+        jobs.append(len(status.getJobIdsForGroup(f"walk-{single}-{whole}-{rounds}")))
     assert masses[0].keys() == masses[1].keys() and ("s", None) in masses[1] and all(math.isclose(masses[1][k], m) for k, m in masses[0].items())
     assert jobs[1] == jobs[2]
 
